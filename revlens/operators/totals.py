@@ -111,6 +111,17 @@ def slot_counts(totals: DataFrame, resolution: str) -> DataFrame:
     return slots.groupBy(*LINE, "slot").agg(F.count("*").alias("commits"), F.sum("files").alias("changes"))
 
 
+def in_slots(revs: DataFrame, slots: list[tuple[str, int | None]]) -> DataFrame:
+    """One row per revision and open-ended slot (caption, first second) it belongs to.
+
+    The few slots travel as literals inside the row expression: no join is needed.
+    """
+    captions = [
+        F.when(F.lit(True) if first is None else F.col("date") >= first, F.lit(caption)) for caption, first in slots
+    ]
+    return revs.withColumn("slot", F.explode(F.array_compact(F.array(*captions))))
+
+
 def participation(rows: DataFrame, author: str, resolution: str, changes: bool = False) -> DataFrame:
     """One author against all others per slot: commits, or lines added."""
     n = F.col("lines_added") if changes else F.lit(1).cast("long")

@@ -271,7 +271,7 @@ def diffstat(log: ChangeLog, branch: str | None = None, id: str | None = None) -
         F.when(cramped, F.lit(WIDTH - RESERVED - MIN_GRAPH)).otherwise(F.col("max_len")).alias("name_width"),
         F.least(F.when(cramped, F.lit(MIN_GRAPH)).otherwise(room).cast("long"), "max_change").alias("graph_width"),
     )
-    files = ranking.spread_join(changes, layout, REV, ["path"]).join(revs, REV)
+    files = ranking.spread_join(changes, revs.join(layout, REV), REV, ["path"])
     amount = F.col("lines_added") + F.col("lines_removed")
     bars = [
         text.change_bar(mark, F.col(column), F.col("graph_width"), F.col("max_change"))

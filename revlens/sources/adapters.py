@@ -22,9 +22,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def order_revisions(spark: SparkSession, folder: str) -> DataFrame:
+def order_revisions(spark: SparkSession, folder: str, orders: DataFrame | None = None) -> DataFrame:
+    """Orders as revisions; ``orders`` may be a stream in place of the table."""
     owners = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    return table(spark, folder, "orders").join(owners, "o_custkey").select(
+    orders = table(spark, folder, "orders") if orders is None else orders
+    return orders.join(owners, "o_custkey").select(
         F.col("c_mktsegment").alias("repo"),
         F.col("o_orderstatus").alias("branch"),
         F.col("o_orderkey").cast("string").alias("id"),
@@ -69,8 +71,8 @@ def orders_log(spark: SparkSession, folder: str, default: str = "F") -> ChangeLo
     )
 
 
-def events_log(spark: SparkSession, folder: str) -> ChangeLog:
-    revs = table(spark, folder, "events").select(
+def event_revisions(events: DataFrame) -> DataFrame:
+    return events.select(
         F.lit("events").alias("repo"),
         F.lit("main").alias("branch"),
         F.col("event_id").cast("string").alias("id"),
@@ -80,7 +82,10 @@ def events_log(spark: SparkSession, folder: str) -> ChangeLog:
         F.col("user_id").cast("string").alias("author"),
         F.col("event_type").alias("message"),
     )
-    return ChangeLog(revs)
+
+
+def events_log(spark: SparkSession, folder: str) -> ChangeLog:
+    return ChangeLog(event_revisions(table(spark, folder, "events")))
 
 
 def documents_log(spark: SparkSession, folder: str) -> ChangeLog:
@@ -170,9 +175,9 @@ def _line_count(text):
     return F.size(F.split(text, "\n", -1)).cast("string")
 
 
-def document_patches(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document as the diff that adds it."""
-    docs = table(spark, folder, "documents")
+def document_patches(spark: SparkSession, folder: str, documents: DataFrame | None = None) -> DataFrame:
+    """Each document as the diff that adds it; ``documents`` may be a stream."""
+    docs = table(spark, folder, "documents") if documents is None else documents
     head = F.concat(
         F.lit("--- /dev/null\n+++ b/docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"),
         F.lit(".txt\n@@ -0,0 +1,"), _line_count(F.col("text")), F.lit(" @@\n"),

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.operators.ranking import spread_join
-from revlens.operators.scan import by_number, scan
+from revlens.operators.scan import by_position, scan
+from revlens.session import written
 
 
 def coalesce_intervals(intervals: DataFrame, keys: list[str], merge_adjacent: bool = False) -> DataFrame:
     """Merge overlapping intervals of a key; touching ones only on request."""
-    longest = intervals.groupBy(*keys, "start").agg(F.max("end").alias("end"))
-    seen = scan(longest, keys, ["start"], {"reach": ("max", F.col("end"))}, by_number("start"), exclusive=True)
+    longest = written(intervals.groupBy(*keys, "start").agg(F.max("end").alias("end")), "intervals")
+    seen = scan(longest, keys, ["start"], {"reach": ("max", F.col("end"))}, by_position("start"), exclusive=True)
     gap = 1 if merge_adjacent else 0
     opens = F.col("reach").isNull() | (F.col("start") > F.col("reach") + gap)
     # an island is named by the start that opened it: the latest opening start so far
     named = scan(
-        seen, keys, ["start"], {"island": ("max", F.when(opens, F.col("start")))}, by_number("start")
+        seen, keys, ["start"], {"island": ("max", F.when(opens, F.col("start")))}, by_position("start")
     )
     return named.groupBy(*keys, F.col("island").alias("start")).agg(F.max("end").alias("end"))
 
@@ -46,8 +47,8 @@ def missing_intervals(intervals: DataFrame, requests: DataFrame, keys: list[str]
         F.greatest("start", "from").alias("start"),
         F.least("end", "to").alias("end"),
     )
-    covered = coalesce_intervals(clipped.unionByName(borders), keys, merge_adjacent=True)
-    ends = scan(covered, keys, ["start"], {"before": ("max", F.col("end"))}, by_number("start"), exclusive=True)
+    covered = written(coalesce_intervals(clipped.unionByName(borders), keys, merge_adjacent=True), "covered")
+    ends = scan(covered, keys, ["start"], {"before": ("max", F.col("end"))}, by_position("start"), exclusive=True)
     return ends.where("before is not null").select(
         *keys, (F.col("before") + 1).alias("start"), (F.col("start") - 1).alias("end")
     )
@@ -61,8 +62,8 @@ def ids_served(intervals: DataFrame, ids: DataFrame, requests: DataFrame, keys:
     """
     wanted = requests.select(*keys, F.col("start").alias("from"), F.col("end").alias("to"))
     asked = spread_join(ids, wanted, keys, ["id"]).where(F.col("id").between(F.col("from"), F.col("to")))
-    merged = coalesce_intervals(intervals, keys)
+    merged = written(coalesce_intervals(intervals, keys), "merged")
     marks = merged.select(*keys, F.col("start").alias("id"), F.lit(0).alias("kind"), "end")
     probes = asked.select(*keys, "id").distinct().select(*keys, "id", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("end"))
-    line = scan(marks.unionByName(probes), keys, ["id", "kind"], {"cover": ("max", F.col("end"))}, by_number("id"))
+    line = scan(marks.unionByName(probes), keys, ["id", "kind"], {"cover": ("max", F.col("end"))}, by_position("id"))
     return line.where((F.col("kind") == 1) & (F.col("cover") >= F.col("id"))).select(*keys, "id")

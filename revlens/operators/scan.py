@@ -36,11 +36,6 @@ def by_date_and_position(date: str = "date", seq: str = "seq") -> Levels:
     return by_day(date) + [("__second", F.col(date))] + by_position(seq)
 
 
-def by_number(name: str) -> Levels:
-    """Blocks for rows unique on a sparse 64-bit number."""
-    return [("__high", F.shiftright(F.col(name), 2 * _BLOCK_BITS)), ("__low", F.shiftright(F.col(name), _BLOCK_BITS))]
-
-
 def scan(
     rows: DataFrame,
     keys: list[str],

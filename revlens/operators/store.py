@@ -38,9 +38,19 @@ def append_new(incoming: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(incoming.schema).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, hadoop = _file_system(spark, path)
+    return system.exists(hadoop)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    system, hadoop = _file_system(spark, path)
+    return system.exists(hadoop) and system.getFileStatus(hadoop).isFile()
 
 
 def seal(rows: DataFrame) -> DataFrame:

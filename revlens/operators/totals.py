@@ -26,7 +26,12 @@ def change_totals(changes: DataFrame) -> DataFrame:
 
 def revision_totals(revs: DataFrame, changes: DataFrame) -> DataFrame:
     """Revisions with their totals. Changes are summed before they meet the revisions."""
-    joined = revs.join(change_totals(changes), REV, "left")
+    return with_change_totals(revs, change_totals(changes))
+
+
+def with_change_totals(revs: DataFrame, sums: DataFrame) -> DataFrame:
+    """Revisions with totals summed beforehand, zeros where there are none."""
+    joined = revs.join(sums, REV, "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in TOTALS})
 
 

@@ -16,6 +16,7 @@ from revlens.model import LINE, REV, ChangeLog
 from revlens.operators import ranking, series, store, totals
 from revlens.operators import select as sel
 from revlens.plans import params
+from revlens.session import written
 from revlens.sinks import dumps
 from revlens.sources import tables
 
@@ -33,7 +34,8 @@ def _with_totals(log: ChangeLog, revs: DataFrame) -> DataFrame:
 def loc(log: ChangeLog, branch: str | None = None, datemin: str | None = None, datemax: str | None = None) -> DataFrame:
     """Lines of code over time."""
     history = _with_totals(log, _revisions(log, branch, None, datemax))
-    return sel.clip_after(series.loc_curve(totals.net_by_date(history)), params.parse_date(datemin))
+    daily = written(totals.net_by_date(history), "net-by-date")
+    return sel.clip_after(series.loc_curve(daily), params.parse_date(datemin))
 
 
 def authors(
@@ -41,8 +43,9 @@ def authors(
 ) -> DataFrame:
     """Lines added so far by each of the busiest authors, at every commit."""
     history = sel.attributed(_with_totals(log, _revisions(log, branch, None, datemax)))
-    names = series.top_names(totals.lines_by_author(history), "author", "loc", n)
-    points = series.with_names(history.select(*LINE, "date", "seq", "author", "lines_added"), names)
+    commits = written(history.select(*LINE, "date", "seq", "author", "lines_added"), "author-commits")
+    names = series.top_names(totals.lines_by_author(commits), "author", "loc", n)
+    points = series.with_names(commits, names)
     points = points.select(*LINE, "date", "seq", "names", *series.member_columns("author", F.col("lines_added"), n))
     return sel.clip_after(series.top_series(points, n, "author", "loc"), params.parse_date(datemin))
 
@@ -196,12 +199,15 @@ def directories(
 ) -> DataFrame:
     """Net lines so far in each of the largest directories, at every commit."""
     revs = _revisions(log, branch, None, datemax).select(*LINE, "id", "date", "seq")
-    touched = totals.revision_changes(revs, log.need("file_changes"))
-    names = series.top_names(totals.net_by_directory(touched), "directory", "loc", n)
-    per_file = series.with_names(touched.withColumn("directory", totals.directory()), names)
-    columns = series.member_columns("directory", totals.net_lines(), n)
-    per_commit = per_file.select(*LINE, "date", "seq", "names", *columns).groupBy(*LINE, "date", "seq").agg(
-        F.first("names").alias("names"), *[F.sum(f"__v{i}").alias(f"__v{i}") for i in range(n)]
+    touched = totals.revision_changes(revs, log.need("file_changes")).withColumn("directory", totals.directory())
+    moves = touched.groupBy(*LINE, "date", "seq", "directory").agg(F.sum(totals.net_lines()).alias("delta"))
+    moves = written(moves, "directory-moves")
+    sizes = moves.where("directory is not null").groupBy(*LINE, "directory").agg(F.sum("delta").alias("loc"))
+    names = series.top_names(sizes, "directory", "loc", n)
+    columns = series.member_columns("directory", F.col("delta"), n)
+    per_commit = series.with_names(moves, names).select(*LINE, "date", "seq", "names", *columns)
+    per_commit = per_commit.groupBy(*LINE, "date", "seq", "names").agg(
+        *[F.sum(f"__v{i}").alias(f"__v{i}") for i in range(n)]
     )
     grid = series.top_series(per_commit, n, "directory", "loc")
     shown = grid.withColumn("directory", paths.display_directory(F.col("directory")))

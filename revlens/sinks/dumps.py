@@ -9,7 +9,8 @@ from revlens.functions import text
 from revlens.model import LINE, REV, ChangeLog
 from revlens.operators import select as sel
 from revlens.operators.series import running_total
-from revlens.operators.totals import net_lines, revision_totals
+from revlens.operators.totals import change_totals, net_lines, with_change_totals
+from revlens.session import written
 
 # Column codes, their short forms and their titles.
 COLUMN_CODES = {
@@ -55,7 +56,8 @@ def select_columns(
     counting = "total" in names
     rows = sel.revisions(log, branch, None if counting else datemin, datemax)
     if {"added", "removed", "delta", "total"} & set(names):
-        rows = revision_totals(rows, log.need("file_changes"))
+        sums = change_totals(log.need("file_changes"))
+        rows = with_change_totals(rows, written(sums, "change-totals") if counting else sums)
     if counting:
         rows = running_total(rows)
     rows = sel.clip_after(rows, datemin)

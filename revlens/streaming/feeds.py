@@ -17,15 +17,19 @@ from pyspark.sql import types as T
 from revlens.functions import times
 from revlens.model import LINE, REV
 from revlens.operators.sets import overlay
-from revlens.operators.store import append_new
+from revlens.operators.store import append_new, is_file
 from revlens.sources.diffs import diffstat_from_diffs
 
 BATCH = "batch_id"
 
 
 def feed(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
-    """An append-only folder of Parquet files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """An append-only folder of Parquet files, or one such file, as a stream."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if is_file(spark, path):
+        path, name = os.path.split(path)
+        reader = reader.option("pathGlobFilter", name)
+    return reader.parquet(path)
 
 
 def stamped(revs: DataFrame, late: str) -> DataFrame:

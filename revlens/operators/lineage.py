@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.session import shared_dir
+from revlens.session import written
 
 
 def first_parent_chain(dag: DataFrame, heads: DataFrame) -> DataFrame:
@@ -15,20 +15,20 @@ def first_parent_chain(dag: DataFrame, heads: DataFrame) -> DataFrame:
     branch and head_id. After round k the walk covers 2^k steps and the jump table
     leads 2^k ancestors up, so that a chain of n takes about log2 n rounds.
     Finished pointers leave the jump table, hence no null key ever piles up. Each
-    round is checkpointed in the shared folder: the lineage stays short and a lost
+    round is written to the shared folder: the lineage stays short and a lost
     executor costs one round.
     """
-    shared_dir(dag.sparkSession)
-    jump = dag.where("parent_id is not null").select("repo", "id", F.col("parent_id").alias("up")).checkpoint()
-    walk = heads.select("repo", "branch", F.col("head_id").alias("id"), F.lit(0).cast("long").alias("depth")).checkpoint()
+    jump = written(dag.where("parent_id is not null").select("repo", "id", F.col("parent_id").alias("up")), "jump")
+    walk = written(
+        heads.select("repo", "branch", F.col("head_id").alias("id"), F.lit(0).cast("long").alias("depth")), "walk"
+    )
     step = 1
     while True:
-        reached = walk.join(jump, ["repo", "id"]).select(
-            "repo", "branch", F.col("up").alias("id"), (F.col("depth") + step).alias("depth")
-        ).checkpoint()
+        onto = walk.join(jump, ["repo", "id"])
+        reached = written(onto.select("repo", "branch", F.col("up").alias("id"), (F.col("depth") + step).alias("depth")), "walk")
         if reached.isEmpty():
             return walk
-        walk = walk.unionByName(reached).checkpoint()
+        walk = walk.unionByName(reached)
         onward = jump.select("repo", F.col("id").alias("up"), F.col("up").alias("top"))
-        jump = jump.join(onward, ["repo", "up"]).select("repo", "id", F.col("top").alias("up")).checkpoint()
+        jump = written(jump.join(onward, ["repo", "up"]).select("repo", "id", F.col("top").alias("up")), "jump")
         step *= 2

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.session import written
+
 OTHERS = "Others"
 
 
@@ -16,10 +18,12 @@ def ratio(part: Column, whole: Column) -> Column:
 def spread_join(facts: DataFrame, dims: DataFrame, on: list[str], by: list[str], how: str = "inner", spread: int = 16) -> DataFrame:
     """Join facts to a side with one row per key when one key may own a third of the facts.
 
-    Each key is split into ``spread`` sub-keys by a hash of ``by``; the one-row
-    side is repeated for each. The planner still turns this into a broadcast join
-    when the real size of that side allows it.
+    The one-row side is written first, so that the planner knows its real size: it
+    broadcasts a small one and the facts are not shuffled at all. For a large one
+    each key is split into ``spread`` sub-keys by a hash of ``by`` and the one-row
+    side is repeated for each.
     """
+    dims = written(dims, "dims")
     salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(spread)))
     copies = dims.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>")))
     return salted.join(copies, on + ["__salt"], how).drop("__salt")

@@ -1,11 +1,13 @@
 """Running sums and maxima that no single key can pin to one task.
 
 A window partitioned by repository alone would put a third of the data into one
-task as soon as one repository holds a third of it. Here the order axis is cut
-into nested blocks (say day, second, run of log positions): block totals are
-aggregated map-side, their running value is found one level up, and it re-enters
-each block as one extra leading row. Every window partition is then one block of
-one key, whatever the skew, and the rows themselves are shuffled once.
+task as soon as one repository holds a third of it. Here the order axis of every
+key is cut into blocks: block totals are aggregated map-side, their running value
+is taken over the blocks, and it re-enters each block as one extra leading row.
+Every window partition is then one block of one key, whatever the skew.
+
+``scan`` cuts by a block expression with a known bound on the rows per block.
+``range_scan`` needs none: it cuts by balanced ranges of the full sort order.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.session import written
+
 _ROW = "__is_row"
+_PART = "__part"
 # Log positions per block: a block is one task's window at most.
 _BLOCK_BITS = 20
 _AGGREGATES = {"sum": F.sum, "max": F.max}
@@ -31,11 +36,6 @@ def by_position(seq: str = "seq") -> Levels:
     return [("__run", F.shiftright(F.col(seq), _BLOCK_BITS))]
 
 
-def by_date_and_position(date: str = "date", seq: str = "seq") -> Levels:
-    """Blocks for rows in (date, seq) order, sound even if all rows share one date."""
-    return by_day(date) + [("__second", F.col(date))] + by_position(seq)
-
-
 def scan(
     rows: DataFrame,
     keys: list[str],
@@ -58,6 +58,22 @@ def scan(
     return _scan(staged, keys, names, order, kinds, exclusive).drop(*names)
 
 
+def range_scan(
+    rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], exclusive: bool = False
+) -> DataFrame:
+    """``scan`` over any unique order, such as (date, seq), even if most rows share a date.
+
+    The rows are range-partitioned by key and order, which balances them however
+    they are distributed, and written once together with their partition number:
+    as a stored value it stays the same in every later read or retry.
+    """
+    staged = rows.withColumns({name: expr for name, (_, expr) in values.items()})
+    kinds = {name: kind for name, (kind, _) in values.items()}
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged.repartitionByRange(parts, *keys, *order).withColumn(_PART, F.spark_partition_id())
+    return _scan(written(ranged, "ranges"), keys, [_PART], order, kinds, exclusive).drop(_PART)
+
+
 def _running(kinds: dict[str, str], window, exclusive: bool) -> dict[str, Column]:
     out = {}
     for name, kind in kinds.items():

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from revlens.functions import times
 from revlens.model import LINE, ChangeLog
 from revlens.operators.ranking import rank, spread_join
-from revlens.operators.scan import by_date_and_position, by_day, by_position, scan
+from revlens.operators.scan import by_day, by_position, range_scan, scan
 from revlens.operators.totals import net_lines
-from revlens.session import written
 
 # Points of the activity curve after the first, and the kernel's
 # half width in grid steps.
@@ -58,8 +57,7 @@ def top_series(points: DataFrame, n: int, entity: str, metric: str) -> DataFrame
     expansion to one row per entity comes last and shuffles nothing.
     """
     cells = [f"__v{i}" for i in range(n)]
-    points = written(points, "series-points")
-    totals = scan(points, LINE, ["date", "seq"], {c: ("sum", F.col(c)) for c in cells}, by_date_and_position())
+    totals = range_scan(points, LINE, ["date", "seq"], {c: ("sum", F.col(c)) for c in cells})
     pairs = F.arrays_zip(F.col("names").alias("name"), F.slice(F.array(*cells), F.lit(1), F.size("names")).alias("value"))
     rows = totals.select(*LINE, "date", "seq", F.explode(pairs).alias("cell"))
     return rows.select(*LINE, "date", "seq", F.col("cell.name").alias(entity), F.col("cell.value").alias(metric))

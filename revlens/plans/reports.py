@@ -80,7 +80,7 @@ def activity(
     """Smoothed activity curves, of all commits or of the series active on most dates."""
     revs = _revisions(log, branch, datemin, datemax)
     counts = totals.activity_counts(log, revs, split, changes)
-    cells = series.activity_cells(counts, totals.date_extent(revs))
+    cells = written(series.activity_cells(counts, totals.date_extent(revs)), "activity-cells")
     if split != "none":
         active = cells.groupBy(*LINE, "series").agg(F.sum("dates").alias("dates"))
         top = ranking.rank(active, LINE, "dates", ["series"], n)
@@ -328,7 +328,7 @@ def branch_list(log: ChangeLog) -> DataFrame:
     widest = rows.groupBy("repo").agg((F.max(F.length("branch")) + 1).alias("width"))
     star = F.when(F.col("is_default"), "* ").otherwise("  ")
     line = F.concat(star, paths.pad_right(F.col("branch"), F.col("width")), "head_id")
-    padded = ranking.spread_join(rows, widest, ["repo"], ["branch"])
+    padded = rows.join(widest, "repo")
     return padded.select(*LINE, "is_default", "head_id", line.alias("line")).orderBy("repo", "branch")
 
 
@@ -342,7 +342,7 @@ def tag_list(log: ChangeLog) -> DataFrame:
     rows = log.need("tags")
     widest = rows.groupBy("repo").agg((F.max(F.length("name")) + 2).alias("width"))
     line = F.concat(paths.pad_right(F.col("name"), F.col("width")), "id")
-    padded = ranking.spread_join(rows, widest, ["repo"], ["name"])
+    padded = rows.join(widest, "repo")
     return padded.select("repo", "name", "id", line.alias("line")).orderBy("repo", "name")
 
 

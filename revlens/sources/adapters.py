@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import times
 from revlens.model import LINE, REV, STAT_COLUMNS, ChangeLog
+from revlens.operators.scan import range_scan
 from revlens.operators.store import seal
 from revlens.sources.tables import branches
 
@@ -144,10 +145,8 @@ def pages_log(spark: SparkSession, folder: str) -> ChangeLog:
 def order_dag(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Each customer as a branch: parent = the customer's previous order, head = the last one."""
     revs = order_revisions(spark, folder).withColumn("branch", F.col("author"))
-    from revlens.operators.scan import by_date_and_position, scan
-
     before = ("max", F.struct("date", "seq", "id"))
-    linked = scan(revs, LINE, ["date", "seq"], {"before": before}, by_date_and_position(), exclusive=True)
+    linked = range_scan(revs.select(*LINE, "date", "seq", "id"), LINE, ["date", "seq"], {"before": before}, exclusive=True)
     dag = linked.select("repo", "id", F.col("before.id").alias("parent_id"))
     heads = revs.groupBy(*LINE).agg(F.max_by("id", F.struct("date", "seq")).alias("head_id"))
     return dag, heads

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions import times
-from revlens.model import LINE, REV
+from revlens.model import LINE, REV, UNKNOWN_DATE
 from revlens.operators.sets import overlay
 from revlens.operators.store import append_new, is_file
 from revlens.sources.diffs import diffstat_from_diffs
@@ -38,8 +38,14 @@ def stamped(revs: DataFrame, late: str) -> DataFrame:
 
 
 def once_each(revs: DataFrame, late: str) -> DataFrame:
-    """Each revision once, however often it is fed within the waiting time."""
-    return stamped(revs, late).dropDuplicatesWithinWatermark(REV)
+    """Each revision once, however often it is fed within the waiting time.
+
+    Undated revisions have no place on the time axis and would count as late; they
+    are told apart by id alone, for which every undated id is remembered.
+    """
+    undated = revs.where(F.col("date") == UNKNOWN_DATE).withColumn("time", F.timestamp_seconds("date"))
+    dated = stamped(revs.where(F.col("date") != UNKNOWN_DATE), late).dropDuplicatesWithinWatermark(REV)
+    return dated.unionByName(undated.dropDuplicates(REV))
 
 
 def slot_totals(revs: DataFrame, late: str, amount: Column, width: str = "1 day") -> DataFrame:

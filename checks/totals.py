@@ -66,7 +66,7 @@ FROM fc JOIN rev USING (repo, id) GROUP BY 1, 2, 3""",
 )
 def agg7_net_by_directory(spark, folder):
     log = adapters.orders_log(spark, folder)
-    return totals.net_by_directory(totals.revision_changes(log.revisions, log.file_changes))
+    return totals.net_by_directory(totals.touches(log.revisions, log.file_changes))
 
 
 def _activity_sql(series, amount, source, parts):

@@ -15,29 +15,39 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part / whole)
 
 
-def spread_join(facts: DataFrame, dims: DataFrame, on: list[str], by: list[str], how: str = "inner", spread: int = 16) -> DataFrame:
-    """Join facts to a side with one row per key when one key may own a third of the facts.
+def sized_join(facts: DataFrame, dims: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join facts to a derived side with one row per key.
 
-    The one-row side is written first, so that the planner knows its real size: it
-    broadcasts a small one and the facts are not shuffled at all. For a large one
-    each key is split into ``spread`` sub-keys by a hash of ``by`` and the one-row
-    side is repeated for each.
+    That side is written first, so that the planner knows its real size: a small
+    one is broadcast and the facts are not shuffled at all. Otherwise both sides of
+    the join are plain shuffles, which adaptive execution can split where one key
+    holds much of the facts.
+    """
+    return facts.join(written(dims, "dims"), on, how)
+
+
+def spread_join(facts: DataFrame, dims: DataFrame, on: list[str], by: list[str], how: str = "inner", spread: int = 64) -> DataFrame:
+    """``sized_join`` for the few, possibly huge, groups of a history line.
+
+    Each key is split into ``spread`` sub-keys by a hash of ``by``; the one-row
+    side is repeated for each. A later aggregation on finer keys then shuffles
+    again instead of staying on the partitions of the coarse key.
     """
-    dims = written(dims, "dims")
     salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(spread)))
-    copies = dims.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>")))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>"))
+    copies = written(dims, "dims").withColumn("__salt", salts)
     return salted.join(copies, on + ["__salt"], how).drop("__salt")
 
 
-def rank(df: DataFrame, keys: list[str], metric: str, tie: list[str], n: int | None = None) -> DataFrame:
+def rank(df: DataFrame, keys: list[str], metric: str, tie: list[str], n: int) -> DataFrame:
     """Add ``rank`` by metric descending and keep the first ``n``.
 
     Ties go to the smaller tie column. The rank filter lets each task cut its own
-    rows down to ``n`` per key before anything is shuffled.
+    rows down to ``n`` per key before anything is shuffled (for ``n`` up to
+    spark.sql.optimizer.windowGroupLimitThreshold, 1000 by default).
     """
     window = Window.partitionBy(*keys).orderBy(F.col(metric).desc(), *tie)
-    ranked = df.withColumn("rank", F.row_number().over(window))
-    return ranked if n is None else ranked.where(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 
 
 def top_n(df: DataFrame, metric: str, tie: list[str], n: int = 6) -> DataFrame:

@@ -7,16 +7,28 @@ from pyspark.sql import functions as F
 
 from revlens.functions import paths, text, times
 from revlens.model import LINE, REV, STAT_COLUMNS, ChangeLog
-from revlens.operators.ranking import ratio, spread_join
+from revlens.operators.ranking import ratio, sized_join
 from revlens.operators.select import attributed, dated
 
 TOTALS = ["files"] + STAT_COLUMNS
 
 
+def touches(revs: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row per touched file of the given revisions."""
+    return revs.join(changes, REV)
+
+
 def revision_changes(revs: DataFrame, changes: DataFrame) -> DataFrame:
-    """One row per touched file; a revision without changes keeps one row of zeros."""
-    joined = revs.join(changes, REV, "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in STAT_COLUMNS})
+    """One row per touched file; a revision without changes keeps one row of zeros.
+
+    An outer join would tie all files of a revision to one task: adaptive execution
+    splits a hot key only on sides whose rows need not be kept. Hence an inner join
+    plus the revisions that have no match.
+    """
+    empty = revs.join(changes.select(*REV).distinct(), REV, "left_anti")
+    zeros = {c: F.lit(0).cast("long") for c in STAT_COLUMNS}
+    matched = touches(revs, changes)
+    return matched.unionByName(empty.withColumns({"path": F.lit(None).cast("string"), **zeros}))
 
 
 def change_totals(changes: DataFrame) -> DataFrame:
@@ -68,7 +80,7 @@ def directory():
 
 def net_by_directory(touched: DataFrame) -> DataFrame:
     """Net lines of each file's own directory, not rolled up to its parents."""
-    rows = touched.where(F.col("path").isNotNull()).withColumn("directory", directory())
+    rows = touched.withColumn("directory", directory())
     return rows.groupBy(*LINE, "directory").agg(F.sum(net_lines()).alias("loc"))
 
 
@@ -82,7 +94,7 @@ def activity_counts(log: ChangeLog, revs: DataFrame, split: str = "none", change
     rows = dated(revs)
     lines = F.col("lines_added") + F.col("lines_removed")
     if split in ("files", "directories"):
-        rows = rows.join(log.need("file_changes"), REV)
+        rows = touches(rows, log.need("file_changes"))
         series = F.col("path") if split == "files" else directory()
     else:
         rows = revision_totals(rows, log.need("file_changes")) if changes else rows
@@ -162,7 +174,7 @@ def messages_by_author(revs: DataFrame) -> DataFrame:
     never gathered into one cell or task.
     """
     rows = attributed(revs).select(*LINE, "author", "seq", "message")
-    return spread_join(rows, commits_by_author(revs), LINE + ["author"], ["seq"])
+    return sized_join(rows, commits_by_author(revs), LINE + ["author"])
 
 
 def layout_stats(changes: DataFrame) -> DataFrame:

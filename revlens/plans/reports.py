@@ -199,9 +199,11 @@ def directories(
 ) -> DataFrame:
     """Net lines so far in each of the largest directories, at every commit."""
     revs = _revisions(log, branch, None, datemax).select(*LINE, "id", "date", "seq")
-    touched = totals.revision_changes(revs, log.need("file_changes")).withColumn("directory", totals.directory())
+    touched = totals.touches(revs, log.need("file_changes")).withColumn("directory", totals.directory())
     moves = touched.groupBy(*LINE, "date", "seq", "directory").agg(F.sum(totals.net_lines()).alias("delta"))
-    moves = written(moves, "directory-moves")
+    # every commit is a point of the series, also one that touched no file
+    points = revs.select(*LINE, "date", "seq", F.lit(None).cast("string").alias("directory"), F.lit(0).cast("long").alias("delta"))
+    moves = written(moves.unionByName(points), "directory-moves")
     sizes = moves.where("directory is not null").groupBy(*LINE, "directory").agg(F.sum("delta").alias("loc"))
     names = series.top_names(sizes, "directory", "loc", n)
     columns = series.member_columns("directory", F.col("delta"), n)
@@ -277,7 +279,7 @@ def diffstat(log: ChangeLog, branch: str | None = None, id: str | None = None) -
         F.when(cramped, F.lit(WIDTH - RESERVED - MIN_GRAPH)).otherwise(F.col("max_len")).alias("name_width"),
         F.least(F.when(cramped, F.lit(MIN_GRAPH)).otherwise(room).cast("long"), "max_change").alias("graph_width"),
     )
-    files = ranking.spread_join(changes, revs.join(layout, REV), REV, ["path"])
+    files = ranking.sized_join(changes, revs.join(layout, REV), REV)
     amount = F.col("lines_added") + F.col("lines_removed")
     bars = [
         text.change_bar(mark, F.col(column), F.col("graph_width"), F.col("max_change"))

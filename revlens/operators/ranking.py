@@ -72,11 +72,12 @@ def top_n_and_others(
 ) -> DataFrame:
     """Top ``n`` entities per key plus one remainder row, with ``total`` per key.
 
-    ``df`` holds one row per (key, entity). The remainder is the key's total minus
-    what was kept, so that only ``n`` rows per key are ever joined.
+    ``df`` holds one row per (key, entity) and is computed once. The remainder is
+    the key's total minus what was kept, so that only ``n`` rows per key are joined.
     """
+    df = written(df, "sizes")
     top = rank(df, keys, metric, [entity], n).select(*keys, entity, metric, "rank")
-    totals = df.groupBy(*keys).agg(F.sum(metric).alias("total"), F.count("*").alias("__members"))
+    totals = df.groupBy(*keys).agg(F.sum(metric).alias("total"))
     kept = top.groupBy(*keys).agg(F.sum(metric).alias("__kept"), F.count("*").alias("__shown"))
     both = totals.join(kept, keys)
     rest = both.select(
@@ -87,7 +88,7 @@ def top_n_and_others(
         "total",
         F.lit(True).alias("is_rest"),
     )
-    return top.join(totals.select(*keys, "total"), keys).withColumn("is_rest", F.lit(False)).unionByName(rest)
+    return top.join(totals, keys).withColumn("is_rest", F.lit(False)).unionByName(rest)
 
 
 def shares(df: DataFrame, keys: list[str], entity: str, metric: str, n: int = 6) -> DataFrame:

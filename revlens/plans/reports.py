@@ -147,6 +147,7 @@ def volume(
         for c, (_, first) in zip(cells, captions)
     ]
     sizes = rows.groupBy(*LINE, "author").agg(*sums).withColumn("all_slots", sum((F.col(c) for c in cells), F.lit(0)))
+    sizes = written(sizes, "author-volumes")
     top = ranking.rank(sizes, LINE, "all_slots", ["author"], n)
     whole = sizes.groupBy(*LINE).agg(*[F.sum(c).alias("t" + c) for c in cells])
     kept = top.groupBy(*LINE).agg(*[F.sum(c).alias(c) for c in cells], F.count("*").cast("int").alias("rank"))

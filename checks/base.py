@@ -104,6 +104,14 @@ def sql(parts: str, body: str) -> str:
     return ("WITH " + ",\n".join(definitions) + "\n" if definitions else "") + body
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a string's bytes, bit by bit: DuckDB has no such function."""
+    byte = f"CASE WHEN k % 8 = 0 THEN CAST('0x' || substr(hex({text}), CAST(k // 4 + 1 AS BIGINT), 2) AS BIGINT) ELSE 0 END"
+    step = f"xor(xor(c, {byte}) >> 1, 3988292384 * (xor(c, {byte}) & 1))"
+    start = f"list_prepend(CAST(4294967295 AS BIGINT), range(8 * strlen({text})))"
+    return f"xor(list_reduce({start}, lambda c, k: {step}), 4294967295)"
+
+
 # Day of an epoch column, as a DATE.
 def day(column: str) -> str:
     return f"CAST(to_timestamp({column}) AT TIME ZONE 'UTC' AS DATE)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import EVENTS_AS_OF, ORDERS_AS_OF, day, day_epoch, label_sql, registry, r6, slot_sql, sql
+from checks.base import EVENTS_AS_OF, ORDERS_AS_OF, crc32_sql, day, day_epoch, label_sql, registry, r6, slot_sql, sql
 from checks.sources import NL, _LEGACY, _csv, _json
 from checks.totals import EXT_SQL, LANGUAGE_SQL
 from revlens.functions import paths, text, times
@@ -169,6 +169,11 @@ def fn17_crc32(spark, folder):
     return adapters.table(spark, folder, "documents").select("doc_id", text.crc32(F.col("text")).alias("crc"))
 
 
+@check(f"SELECT conv_id, turn, {crc32_sql('text')} AS crc FROM conversations")
+def fn17_crc32_turns(spark, folder):
+    return adapters.table(spark, folder, "conversations").select("conv_id", "turn", text.crc32(F.col("text")).alias("crc"))
+
+
 @check("SELECT o_orderkey, CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) AS date FROM orders")
 def fn20_parse_date(spark, folder):
     orders = adapters.table(spark, folder, "orders")

@@ -168,22 +168,31 @@ def rpt12_shortlog_summary(spark, folder):
     return reports.shortlog(adapters.conversations_log(spark, folder), summary=True, numbered=True)
 
 
-@check(
-    sql(
-        "tot",
-        """WITH l AS (SELECT repo, id, max(length(path)) AS len, max(lines_added + lines_removed) AS big FROM fc GROUP BY 1, 2),
+DIFFSTAT_SQL = """WITH l AS (SELECT repo, id, max(length(path)) AS len, max(lines_added + lines_removed) AS big FROM fc GROUP BY 1, 2),
 w AS (SELECT repo, id, big, CASE WHEN 70 - len < 15 THEN 55 ELSE len END AS nw, least(CASE WHEN 70 - len < 15 THEN 15 ELSE 70 - len END, big) AS gw FROM l),
 f AS (SELECT rev.repo, branch, id, seq, path, lines_added AS la, lines_removed AS lr, big, nw, gw FROM fc JOIN w USING (repo, id) JOIN rev USING (repo, id))
 SELECT repo, branch, id, seq, CAST(0 AS INTEGER) AS part, path, ' ' || rpad(path, CAST(nw AS INTEGER), ' ') || ' | ' || lpad(CAST(la + lr AS VARCHAR), 4, ' ') || ' '
   || repeat('+', CASE WHEN big >= 2 THEN CAST(floor(((la - 1) * (gw - 1) + big - 1) / CAST(big - 1 AS DOUBLE)) AS BIGINT) ELSE la END)
   || repeat('-', CASE WHEN big >= 2 THEN CAST(floor(((lr - 1) * (gw - 1) + big - 1) / CAST(big - 1 AS DOUBLE)) AS BIGINT) ELSE lr END) AS line FROM f
-UNION ALL SELECT repo, branch, id, seq, 1, '', ' ' || files || ' files changed, ' || lines_added || ' insertions(+), ' || lines_removed || ' deletions(-)' FROM tot""",
-    )
-)
+UNION ALL SELECT repo, branch, id, seq, 1, '', ' ' || files || ' files changed, ' || lines_added || ' insertions(+), ' || lines_removed || ' deletions(-)' FROM tot"""
+
+
+@check(sql("tot", DIFFSTAT_SQL))
 def rpt13_diffstat(spark, folder):
     return reports.diffstat(_orders(spark, folder))
 
 
+@check(
+    sql(
+        "tot",
+        f"""WITH lines AS ({DIFFSTAT_SQL})
+SELECT *, row_number() OVER (PARTITION BY repo, branch, id ORDER BY part, path) AS ordinal FROM lines""",
+    )
+)
+def rpt13_diffstat_numbered(spark, folder):
+    return reports.diffstat(_orders(spark, folder), numbered=True)
+
+
 @check(
     sql(
         "tot",

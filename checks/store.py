@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import registry, sql
+from checks.base import crc32_sql, registry, sql
 from revlens.model import REV
 from revlens.operators import intervals, store
 from revlens.session import scratch_path
@@ -28,12 +28,21 @@ def inc1_append_new(spark, folder):
     return store.append_new(revs.unionByName(revs), path)
 
 
-@check()
+_PAYLOAD = "p AS (SELECT repo, id, seq, id || ':' || date || ':' || author || ':' || message AS payload FROM ev)"
+
+
+@check(
+    sql(
+        "ev",
+        f"""WITH {_PAYLOAD}, c AS (SELECT *, {crc32_sql('payload')} AS good FROM p)
+SELECT repo, id, good + CASE WHEN seq % 97 = 0 THEN 1 ELSE 0 END AS crc, CASE WHEN seq % 97 = 0 THEN 'corrupted' ELSE 'ok' END AS status FROM c""",
+    )
+)
 def inc2_audit(spark, folder):
-    return store.audit(adapters.event_payloads(spark, folder)).select(*REV, "status")
+    return store.audit(adapters.event_payloads(spark, folder)).select(*REV, "crc", "status")
 
 
-@check(sql("ev", "SELECT repo, id, seq, id || ':' || date || ':' || author || ':' || message AS payload FROM ev WHERE seq % 97 <> 0"))
+@check(sql("ev", f"WITH {_PAYLOAD} SELECT * FROM p WHERE seq % 97 <> 0"))
 def inc3_repair(spark, folder):
     path = scratch_path(spark, "sealed")
     adapters.event_payloads(spark, folder).write.parquet(path)

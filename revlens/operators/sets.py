@@ -13,13 +13,17 @@ def union_ids(fetched: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def missing_ids(requested: DataFrame, stored: DataFrame) -> DataFrame:
-    """Requested revisions the store does not hold."""
-    return requested.join(stored.select(*REV), REV, "left_anti")
+    """Requested revisions the store does not hold.
+
+    The store may have any number of rows per revision: they are reduced to one
+    before they are shuffled.
+    """
+    return requested.join(stored.select(*REV).distinct(), REV, "left_anti")
 
 
 def hit_ids(requested: DataFrame, stored: DataFrame) -> DataFrame:
     """Requested revisions the store holds."""
-    return requested.join(stored.select(*REV), REV, "left_semi")
+    return requested.join(stored.select(*REV).distinct(), REV, "left_semi")
 
 
 def overlay(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:

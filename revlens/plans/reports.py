@@ -15,6 +15,7 @@ from revlens.functions import paths, text, times
 from revlens.model import LINE, REV, ChangeLog
 from revlens.operators import ranking, series, store, totals
 from revlens.operators import select as sel
+from revlens.operators.scan import range_scan
 from revlens.plans import params
 from revlens.session import written
 from revlens.sinks import dumps
@@ -261,26 +262,28 @@ def shortlog(
 WIDTH, RESERVED, MIN_GRAPH = 80, 10, 15
 
 
-def diffstat(log: ChangeLog, branch: str | None = None, id: str | None = None) -> DataFrame:
+def diffstat(log: ChangeLog, branch: str | None = None, id: str | None = None, numbered: bool = False) -> DataFrame:
     """Change chart of every selected revision: file lines (part 0) and a summary (part 1).
 
     Sorted by (seq, part, path) the lines are the charts. Widths follow from
-    per-revision maxima that are aggregated before they meet the file rows.
+    per-revision maxima, which are aggregated and written before they meet the file
+    rows. ``numbered`` adds the line's ``ordinal`` in its chart, at the price of a
+    sort of all lines.
     """
     revs = sel.on_branch(log.revisions, log, branch).select(*LINE, *[c for c in REV if c not in LINE], "seq")
     if id is not None:
         revs = revs.where(F.col("id") == id)
     changes = log.need("file_changes")
-    layout = totals.layout_stats(changes)
+    layout = written(revs.join(totals.layout_stats(changes), REV, "left"), "layout")
     room = F.lit(WIDTH - RESERVED) - F.col("max_len")
     cramped = room < MIN_GRAPH
-    layout = layout.select(
-        *REV,
-        "max_change",
-        F.when(cramped, F.lit(WIDTH - RESERVED - MIN_GRAPH)).otherwise(F.col("max_len")).alias("name_width"),
-        F.least(F.when(cramped, F.lit(MIN_GRAPH)).otherwise(room).cast("long"), "max_change").alias("graph_width"),
+    sized = layout.withColumns(
+        {
+            "name_width": F.when(cramped, F.lit(WIDTH - RESERVED - MIN_GRAPH)).otherwise(F.col("max_len")),
+            "graph_width": F.least(F.when(cramped, F.lit(MIN_GRAPH)).otherwise(room).cast("long"), "max_change"),
+        }
     )
-    files = ranking.sized_join(changes, revs.join(layout, REV), REV)
+    files = changes.join(sized, REV)
     amount = F.col("lines_added") + F.col("lines_removed")
     bars = [
         text.change_bar(mark, F.col(column), F.col("graph_width"), F.col("max_change"))
@@ -290,12 +293,14 @@ def diffstat(log: ChangeLog, branch: str | None = None, id: str | None = None) -
         F.lit(" "), paths.shorten_path(F.col("path"), F.col("name_width")), F.lit(" | "),
         paths.pad_left(amount.cast("string"), 4), F.lit(" "), *bars,
     )
-    summary = F.format_string(" %d files changed, %d insertions(+), %d deletions(-)", "files", "lines_added", "lines_removed")
+    counts = [F.coalesce(c, F.lit(0)) for c in ("files", "added", "removed")]
+    summary = F.format_string(" %d files changed, %d insertions(+), %d deletions(-)", *counts)
     charts = files.select(*LINE, "id", "seq", F.lit(0).alias("part"), "path", line.alias("line"))
-    ends = totals.revision_totals(revs, changes).select(
-        *LINE, "id", "seq", F.lit(1).alias("part"), F.lit("").alias("path"), summary.alias("line")
-    )
-    return charts.unionByName(ends)
+    ends = layout.select(*LINE, "id", "seq", F.lit(1).alias("part"), F.lit("").alias("path"), summary.alias("line"))
+    lines = charts.unionByName(ends)
+    if not numbered:
+        return lines
+    return range_scan(lines, [*LINE, "id"], ["part", "path"], {"ordinal": ("sum", F.lit(1).cast("long"))})
 
 
 def csv(log: ChangeLog, columns: str = dumps.DEFAULT_COLUMNS, branch: str | None = None, datemin: str | None = None, datemax: str | None = None) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from checks.base import registry, sql
 from revlens.model import LINE
 from revlens.operators import extend

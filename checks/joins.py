@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import EVENTS_AS_OF, ORDERS_AS_OF, day, label_sql, registry, r6, slot_sql, sql
+from checks.base import ORDERS_AS_OF, day, label_sql, registry, r6, slot_sql, sql
 from revlens.model import LINE, REV, STAT_COLUMNS
 from revlens.operators import ranking, series, sets, totals
 from revlens.plans import params, reports

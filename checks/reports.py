@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from checks.base import EVENTS_AS_OF, ORDERS_AS_OF, day, label_sql, registry, r6, slot_sql, sql
+from checks.base import ORDERS_AS_OF, day, label_sql, registry, r6, slot_sql, sql
 from checks.functions import AGE_SQL, BIRTHDAY_SQL, HUMAN_SQL, ORDINAL_SQL, _SUMMARY
 from checks.joins import SMOOTH_BODY
 from checks.sources import ALL_COLUMNS, ENTRIES as _SOURCES, REVDUMP_SQL
-from checks.totals import LANGUAGES_SQL, PIE_SQL, PUNCH_SQL, VOLUME_SQL, _SHARE, _volume_orders_sql
+from checks.totals import LANGUAGES_SQL, PIE_SQL, PUNCH_SQL, _SHARE, _volume_orders_sql
 from checks.windows import AUTHORS_SQL, DIRECTORIES_SQL, LOC_SQL
-from revlens.model import LINE
 from revlens.operators.select import DEFAULT_BRANCH
 from revlens.plans import reports
 from revlens.sources import adapters

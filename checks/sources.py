@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import ORDERS_AS_OF, registry, r6, slot_sql, sql, day
-from revlens.model import LINE, REV, STAT_COLUMNS
+from checks.base import day, registry, slot_sql, sql
+from revlens.model import LINE
 from revlens.operators import select as sel
 from revlens.operators import totals
 from revlens.plans import reports

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import registry, sql
-from checks.sources import src5_document_diffs, ENTRIES as _SOURCES
+from checks.sources import ENTRIES as _SOURCES
 from revlens.model import LINE, REV, STAT_COLUMNS
 from revlens.operators import totals
 from revlens.session import scratch_path

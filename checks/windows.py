@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import ORDERS_AS_OF, registry, r6, sql
 from checks.joins import SMOOTH_BODY
-from checks.totals import PIE_SQL, PUNCH_SQL, _SHARE
+from checks.totals import PIE_SQL, _SHARE
 from revlens.model import LINE, REV
 from revlens.operators import lineage, ranking, series, totals
 from revlens.plans import reports

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, packing, records
+from revlens.llm import bpe, decontamination, packing, records, simhash
 
 
 @dataclass(frozen=True)
@@ -55,3 +55,13 @@ def op4_token_counts(spark, folder):
 def op5_binary_records(spark, folder):
     files = records.write(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
     return records.read(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op8_simhash(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op9_decontamination(spark, folder):
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

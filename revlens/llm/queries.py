@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, decontamination, packing, records, simhash
+from revlens.llm import bpe, decontamination, packing, records, simhash, suffixes
 
 
 @dataclass(frozen=True)
@@ -65,3 +65,8 @@ def op8_simhash(spark, folder):
 @query()
 def op9_decontamination(spark, folder):
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op10_repeated_passages(spark, folder):
+    return suffixes.repeated_bytes(table(spark, folder, "documents"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, decontamination, packing, records, simhash, suffixes
+from revlens.llm import bpe, decontamination, merkle, packing, records, simhash, suffixes
 
 
 @dataclass(frozen=True)
@@ -70,3 +70,8 @@ def op9_decontamination(spark, folder):
 @query()
 def op10_repeated_passages(spark, folder):
     return suffixes.repeated_bytes(table(spark, folder, "documents"))
+
+
+@query()
+def op2_merkle_fingerprints(spark, folder):
+    return merkle.fingerprints(table(spark, folder, "documents"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, decontamination, merkle, packing, records, simhash, suffixes
+from revlens.llm import bpe, decontamination, gam, merkle, packing, records, simhash, suffixes, toxicity
 
 
 @dataclass(frozen=True)
@@ -75,3 +75,15 @@ def op10_repeated_passages(spark, folder):
 @query()
 def op2_merkle_fingerprints(spark, folder):
     return merkle.fingerprints(table(spark, folder, "documents"))
+
+
+@query()
+def op6_toxicity_chain(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, toxicity.label_columns(table(spark, folder, "labels"))))
+
+
+@query()
+def op7_quality_additive(spark, folder):
+    docs = table(spark, folder, "documents")
+    return gam.quality(docs, gam.fit(docs, table(spark, folder, "labels")))

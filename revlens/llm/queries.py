@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, decontamination, gam, merkle, packing, records, simhash, suffixes, toxicity
+from revlens.llm import bpe, chat, decontamination, gam, merkle, packing, records, simhash, suffixes, toxicity
 
 
 @dataclass(frozen=True)
@@ -87,3 +87,28 @@ def op6_toxicity_chain(spark, folder):
 def op7_quality_additive(spark, folder):
     docs = table(spark, folder, "documents")
     return gam.quality(docs, gam.fit(docs, table(spark, folder, "labels")))
+
+
+CHAT_SQL = """
+WITH calls AS (
+  SELECT conv_id, 'c' || turn AS call_id, turn AS seq, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, text
+  FROM conversations WHERE role IN ('user', 'system')),
+results AS (
+  SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS seq, min(coalesce(text, '')) AS result, count(*) AS n
+  FROM conversations WHERE role = 'assistant' GROUP BY 1, 2)
+SELECT c.conv_id, c.call_id, c.seq, 0 AS level, c.name, CASE WHEN n IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  coalesce(n, 0) AS n_results, CASE WHEN text IS NULL THEN 'kind of prompt' ELSE '' END AS problems,
+  CAST(json_object('arguments', json_object('prompt', text, 'turn', c.seq), 'call_id', c.call_id, 'conv_id', c.conv_id,
+    'name', c.name, 'result', result) AS VARCHAR) AS json
+FROM calls c LEFT JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+UNION ALL
+SELECT r.conv_id, r.call_id, r.seq, NULL, NULL, 'orphan', n, '',
+  CAST(json_object('arguments', NULL, 'call_id', r.call_id, 'conv_id', r.conv_id, 'name', NULL, 'result', result) AS VARCHAR)
+FROM results r ANTI JOIN calls c ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+"""
+
+
+@query(CHAT_SQL)
+def op3_chat_tool_calls(spark, folder):
+    calls, results = chat.turn_calls(table(spark, folder, "conversations"))
+    return chat.formatted(calls, results, spark.createDataFrame(chat.TOOLS, "name string, field string, kind string, required boolean"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from revlens.llm import rows
 from revlens.session import written
@@ -239,3 +240,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
     alone = classes.join(groups.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     ids = written(joined.unionAll(alone), "components")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """The documents, with all their columns, without near-duplicates: of each group the smallest doc_id stays.
+
+    Where ids are null or occur more than once, rows are told apart by their fingerprints, and of rows that agree in
+    both one stays.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    found = near_duplicates(docs, words, radius, bucket)
+    if ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        gone = written(found.where("doc_id <> component_id").select("doc_id"), "gone")
+        return docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    schema, at = StructType([*docs.schema, StructField("_fp", LongType())]), docs.columns.index("text")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows.slices(batches):
+            bits = np.array([fingerprint(x, words) for x in rows.blobs(batch.column(at))], "<u8")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits.view("<i8"))], [*batch.schema.names, "_fp"])
+
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print")).distinct()
+    own = rows.mapped(docs, marked, schema)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.lower(F.lpad(F.hex("_fp"), 16, "0")) == F.col("_print"))
+    return own.join(written(kept, "kept"), same, "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp")

@@ -258,7 +258,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, first_too:
     solved = rows.mapped(ordered, _resolved(length), "anchor long, run long, again binary, before binary")
     bits = written(solved.select("anchor", "run", F.col("again" if first_too else "before").alias("bits")), "windows")
     large = mixed.where(F.col("d") > runs)
-    plain = classes.join(bits, ["anchor", "run"], "left")
+    plain = written(classes.join(bits, ["anchor", "run"], "left"), "plain")  # a table of its own, so that hot runs of the other side are split
 
     first = (F.col("first.key") == F.col("key")) & (F.col("first.at") == F.col("at"))
     whole = F.col("n") > 1 if first_too else ~first

@@ -8,7 +8,7 @@ from checks.base import registry, sql
 from checks.sources import ENTRIES as _SOURCES
 from revlens.model import LINE, REV, STAT_COLUMNS
 from revlens.operators import totals
-from revlens.session import scratch_path
+from revlens.session import scratch_path, written
 from revlens.sources import adapters
 from revlens.streaming import feeds
 
@@ -28,8 +28,8 @@ def _orders(spark, folder):
 
 
 def _with_static_totals(spark, folder, revs):
-    """A stream of revisions next to the stored totals of their changes."""
-    stored = totals.change_totals(adapters.order_changes(spark, folder))
+    """A stream of revisions next to the totals of their changes, which are summed and stored once."""
+    stored = written(totals.change_totals(adapters.order_changes(spark, folder)), "change-totals")
     joined = revs.join(stored, REV, "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in STAT_COLUMNS})
 
@@ -45,28 +45,27 @@ def str1_feed(spark, folder):
 @check(sql("ev", "SELECT repo, branch, id, seq, date, author, message FROM ev"))
 def str2_once_each(spark, folder):
     twice = _events(spark, folder).unionByName(_events(spark, folder))
-    once = feeds.once_each(twice, "40 days").select(*LINE, *_SHOWN)
-    return feeds.append_to(once, scratch_path(spark, "once"))
+    return feeds.once_each(twice.select(*LINE, *_SHOWN), scratch_path(spark, "once"))
 
 
 @check(
     sql(
         "tot",
-        """WITH d AS (SELECT repo, branch, date // 86400 * 86400 AS slot, count(*) AS commits, CAST(sum(lines_added + lines_removed) AS BIGINT) AS churn FROM tot GROUP BY 1, 2, 3)
-SELECT * FROM d WHERE slot + 86400 <= (SELECT max(date) - 7 * 86400 FROM rev)""",
+        """SELECT repo, branch, date // 86400 * 86400 AS slot, count(*) AS commits, CAST(sum(lines_added + lines_removed) AS BIGINT) AS churn
+FROM tot GROUP BY 1, 2, 3""",
     )
 )
 def str3_slot_totals(spark, folder):
     rows = _with_static_totals(spark, folder, _orders(spark, folder))
-    finished = feeds.slot_totals(rows, "7 days", F.col("lines_added") + F.col("lines_removed"))
-    return feeds.append_to(finished, scratch_path(spark, "slots"))
+    churn = F.col("lines_added") + F.col("lines_removed")
+    return feeds.totals_so_far(rows, scratch_path(spark, "slots"), lambda batch: feeds.slot_totals(batch, churn), [*LINE, "slot"])
 
 
 @check(sql("tot", "SELECT repo, branch, author, count(*) AS commits, CAST(sum(lines_added) AS BIGINT) AS loc FROM tot WHERE author <> '' GROUP BY 1, 2, 3"))
 def str4_author_totals(spark, folder):
     rows = _with_static_totals(spark, folder, _orders(spark, folder))
-    out = feeds.per_batch(feeds.author_totals(rows, F.col("lines_added")), scratch_path(spark, "authors"), "update")
-    return feeds.latest_rows(spark, out, [*LINE, "author"])
+    shape = lambda batch: feeds.author_totals(batch, F.col("lines_added"))
+    return feeds.totals_so_far(rows, scratch_path(spark, "authors"), shape, [*LINE, "author"])
 
 
 @check(
@@ -74,8 +73,7 @@ def str4_author_totals(spark, folder):
 FROM events GROUP BY 1, 2, 3, 4"""
 )
 def str5_punchcard(spark, folder):
-    out = feeds.per_batch(feeds.punchcard_cells(_events(spark, folder)), scratch_path(spark, "punchcard"), "complete")
-    return feeds.latest_batch(spark, out)
+    return feeds.totals_so_far(_events(spark, folder), scratch_path(spark, "punchcard"), feeds.punchcard_cells, [*LINE, "dow", "hour"])
 
 
 @check(sql("ev", "SELECT repo, branch, id, seq, date, author, message FROM ev"))

@@ -21,6 +21,16 @@ def missing_ids(requested: DataFrame, stored: DataFrame) -> DataFrame:
     return requested.join(stored.select(*REV).distinct(), REV, "left_anti")
 
 
+def missing_from_store(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of a stored, small batch that a large store lacks.
+
+    The store is reduced to the batch's ids first: as its size is known, the batch is broadcast and the store is
+    read where it lies; a batch too large for that is shuffled with it.
+    """
+    held = stored.select(*REV).join(batch.select(*REV), REV, "left_semi").distinct()
+    return batch.join(held, REV, "left_anti")
+
+
 def hit_ids(requested: DataFrame, stored: DataFrame) -> DataFrame:
     """Requested revisions the store holds."""
     return requested.join(stored.select(*REV).distinct(), REV, "left_semi")

@@ -6,9 +6,11 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revlens.model import REV
-from revlens.operators.sets import missing_ids
+from revlens.operators.sets import missing_from_store
+from revlens.session import written
 
 # Newest store version, and per backend the last version whose
 # content is stale.
@@ -31,9 +33,9 @@ def hit_counts(requested: DataFrame, stored: DataFrame) -> DataFrame:
 def append_new(incoming: DataFrame, path: str) -> DataFrame:
     """Append the revisions the store at ``path`` lacks; returns the store."""
     spark = incoming.sparkSession
-    fresh = incoming.dropDuplicates(REV)
+    fresh = written(incoming.dropDuplicates(REV), "batch")
     if exists(spark, path):
-        fresh = missing_ids(fresh, spark.read.schema(incoming.schema).parquet(path))
+        fresh = missing_from_store(fresh, spark.read.schema(incoming.schema).parquet(path))
     fresh.write.mode("append").parquet(path)
     return spark.read.schema(incoming.schema).parquet(path)
 
@@ -48,6 +50,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(hadoop)
 
 
+def read_if_any(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The Parquet table at ``path``; empty as long as there is none."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path``."""
+    system, hadoop = _file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(hadoop) if s.isDirectory()] if system.exists(hadoop) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, hadoop = _file_system(spark, path)
+    system.delete(hadoop, True)
+
+
 def is_file(spark: SparkSession, path: str) -> bool:
     system, hadoop = _file_system(spark, path)
     return system.exists(hadoop) and system.getFileStatus(hadoop).isFile()
@@ -80,12 +98,12 @@ def intact(stored: DataFrame) -> DataFrame:
     return audit(stored).where(F.col("status") == OK).drop("status")
 
 
-def repair(spark: SparkSession, path: str, fixed_path: str) -> DataFrame:
-    """Write the intact rows of a store to a new path and return that store.
+def repair(spark: SparkSession, path: str, fixed_path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Write the intact rows of a store to a new path and return that store. Without ``schema`` it is read from the files.
 
     The new path is complete or absent (the output is committed as a whole), so
     that readers are switched over only to a finished copy.
     """
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
     intact(stored).write.mode("errorifexists").parquet(fixed_path)
     return spark.read.schema(stored.schema).parquet(os.fspath(fixed_path))

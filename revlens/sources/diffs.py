@@ -17,7 +17,7 @@ from revlens.model import REV, STAT_COLUMNS
 # The line that separates files, the hunk header and the marker of
 # the end of a piped diff (byte 0xFF).
 SEPARATOR = "=" * 67
-HUNK = r"^@@\s*([-+])\d+(?:,(\d+))?\s+([-+])\d+(?:,(\d+))?"
+HUNK = r"^@@\s*((?!@@)[^\s,]+)(,\d*)?\S*\s+((?!@@)[^\s,]+)(,\d*)?"
 END_MARK = "ÿ"
 
 
@@ -50,13 +50,30 @@ def _lines(raw: DataFrame) -> DataFrame:
 
 
 def _announced(side: str) -> Column:
-    """Lines a hunk header announces for '-' or '+'; a missing length means one."""
+    """Lines a hunk header announces for '-' or '+', by the later of its first two ranges for that side.
+
+    A missing length means one. Null: it says nothing about that side, as in the header of a combined diff, or
+    the length is no number.
+    """
 
     def length(group: int) -> Column:
-        digits = F.regexp_extract("text", HUNK, group)
-        return F.when(digits == "", 1).otherwise(F.nullif(digits, F.lit("")).cast("long"))
+        tail = F.regexp_extract("text", HUNK, group)
+        return F.when(tail == "", F.lit(1).cast("long")).otherwise(F.substr(tail, F.lit(2)).try_cast("long"))
+
+    def own(group: int) -> Column:
+        removed = F.regexp_extract("text", HUNK, group).startswith("-")
+        return removed if side == "-" else ~removed
+
+    return F.when(own(3), length(4)).when(own(1), length(2))
 
-    return F.when(F.regexp_extract("text", HUNK, 1) == side, length(2)).otherwise(length(4))
+
+def rejected(raw: DataFrame) -> DataFrame:
+    """(repo, id, reason) of diffs with a hunk header that lacks two ranges."""
+    content = F.decode(F.col("diff").cast("binary"), "ISO-8859-1")
+    hunks = F.filter(F.split(content, "\n", -1), lambda line: line.startswith("@@"))
+    bad = F.filter(hunks, lambda line: ~line.rlike(HUNK))
+    found = raw.select(*REV, F.get(bad, F.lit(0)).alias("line")).where("line is not null")
+    return found.select(*REV, F.concat(F.lit("bad hunk header: "), "line").alias("reason"))
 
 
 def _path(text: Column) -> Column:
@@ -69,13 +86,13 @@ def _path(text: Column) -> Column:
     return F.when(name != "/dev/null", bare)
 
 
-def diffstat_from_diffs(raw: DataFrame, strict: bool = True) -> DataFrame:
+def diffstat_from_diffs(raw: DataFrame, strict: bool = False) -> DataFrame:
     """Rows (repo, id, diff) to file_changes rows.
 
     ``diff`` is one string or binary cell per revision and (repo, id) is unique, so
     a window partition is never larger than the lines of one cell. All line-level
-    windows share one shuffle of narrow rows. A hunk header without two ranges is
-    an error unless ``strict`` is off, in which case it announces nothing.
+    windows share one shuffle of narrow rows. A hunk header without two ranges
+    announces nothing (``rejected`` lists such diffs), or is an error if ``strict``.
     """
     lines = _lines(raw)
     order = Window.partitionBy(*REV).orderBy("pos")
@@ -87,7 +104,7 @@ def diffstat_from_diffs(raw: DataFrame, strict: bool = True) -> DataFrame:
     if strict:
         bad = F.raise_error(F.concat(F.lit("bad hunk header: "), F.col("text"))).cast("long")
     else:
-        bad = F.lit(0).cast("long")
+        bad = F.lit(None).cast("long")
     announced = {
         name: F.when(is_hunk, F.when(well_formed, _announced(side)).otherwise(bad)).otherwise(0)
         for name, side in (("old", "-"), ("new", "+"))
@@ -103,14 +120,12 @@ def diffstat_from_diffs(raw: DataFrame, strict: bool = True) -> DataFrame:
         seen("end").alias("ends"),
     ).where((F.col("ends") == 0) & (F.col("kind") != "end"))
     # what remained to be seen when the current hunk began
-    opened = F.when(
-        F.col("kind").isin("hunk", "reset"),
-        F.struct((F.col("old_seen") + announced["old"]).alias("old"), (F.col("new_seen") + announced["new"]).alias("new")),
-    )
-    marked = counted.withColumn("due", F.last(opened, ignorenulls=True).over(before))
-    idle = F.col("due").isNull() | (
-        (F.col("old_seen") >= F.col("due.old")) & (F.col("new_seen") >= F.col("due.new"))
-    )
+    opens = F.col("kind").isin("hunk", "reset")
+    due = {name: F.last(F.when(opens, F.col(f"{name}_seen") + announced[name]), ignorenulls=True).over(before) for name in ("old", "new")}
+    marked = counted.withColumns({f"{name}_due": column for name, column in due.items()})
+    idle = F.lit(True)
+    for name in ("old", "new"):
+        idle = idle & (F.col(f"{name}_due").isNull() | (F.col(f"{name}_seen") >= F.col(f"{name}_due")))
     headed = marked.withColumn("is_header", F.col("named") & idle)
     blocks = headed.select(
         *REV,

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions import times
-from revlens.model import LINE, REV, UNKNOWN_DATE
-from revlens.operators.sets import overlay
-from revlens.operators.store import append_new, is_file
+from revlens.model import LINE, SCHEMAS
+from revlens.operators.store import append_new, delete, exists, folders, is_file, read_if_any
 from revlens.sources.diffs import diffstat_from_diffs
 
 BATCH = "batch_id"
@@ -32,39 +31,20 @@ def feed(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger
     return reader.parquet(path)
 
 
-def stamped(revs: DataFrame, late: str) -> DataFrame:
-    """Add the event time and how long to wait for stragglers."""
-    return revs.withColumn("time", F.timestamp_seconds("date")).withWatermark("time", late)
-
-
-def once_each(revs: DataFrame, late: str) -> DataFrame:
-    """Each revision once, however often it is fed within the waiting time.
-
-    Undated revisions have no place on the time axis and would count as late; they
-    are told apart by id alone, for which every undated id is remembered.
-    """
-    undated = revs.where(F.col("date") == UNKNOWN_DATE).withColumn("time", F.timestamp_seconds("date"))
-    dated = stamped(revs.where(F.col("date") != UNKNOWN_DATE), late).dropDuplicatesWithinWatermark(REV)
-    return dated.unionByName(undated.dropDuplicates(REV))
-
-
-def slot_totals(revs: DataFrame, late: str, amount: Column, width: str = "1 day") -> DataFrame:
-    """Commits and churn per finished slot (append mode)."""
-    return (
-        stamped(revs, late)
-        .groupBy(*LINE, F.window("time", width))
-        .agg(F.count("*").alias("commits"), F.sum(amount).alias("churn"))
-        .select(*LINE, F.unix_seconds("window.start").alias("slot"), "commits", "churn")
-    )
+def slot_totals(revs: DataFrame, amount: Column, width: str = "1 day") -> DataFrame:
+    """Commits and churn per slot."""
+    slots = revs.groupBy(*LINE, F.window(F.timestamp_seconds("date"), width))
+    sums = slots.agg(F.count("*").alias("commits"), F.sum(amount).alias("churn"))
+    return sums.select(*LINE, F.unix_seconds("window.start").alias("slot"), "commits", "churn")
 
 
 def author_totals(revs: DataFrame, amount: Column) -> DataFrame:
-    """Commits and lines per author so far (update mode)."""
+    """Commits and lines per author."""
     return revs.where("author <> ''").groupBy(*LINE, "author").agg(F.count("*").alias("commits"), F.sum(amount).alias("loc"))
 
 
 def punchcard_cells(revs: DataFrame) -> DataFrame:
-    """Commits per weekday and hour so far (complete mode)."""
+    """Commits per weekday and hour."""
     cells = revs.where("date <> 0").withColumns({"dow": times.weekday(F.col("date")), "hour": times.hour(F.col("date"))})
     return cells.groupBy(*LINE, "dow", "hour").agg(F.count("*").alias("n"))
 
@@ -81,37 +61,81 @@ def append_to(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def per_batch(stream: DataFrame, path: str, mode: str, shape: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> str:
+def per_batch(stream: DataFrame, path: str, shape: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> str:
     """Drain the feed, writing each batch's (shaped) rows to its own folder."""
     out = os.path.join(path, "batches")
 
     def write(batch: DataFrame, number: int) -> None:
         shape(batch).write.mode("overwrite").parquet(os.path.join(out, f"{BATCH}={number}"))
 
-    _drain(stream.writeStream.outputMode(mode).foreachBatch(write), path)
+    _drain(stream.writeStream.outputMode("append").foreachBatch(write), path)
     return out
 
 
-def latest_rows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """State after update-mode batches: per key the row of its last batch."""
-    return overlay(spark.read.parquet(out), keys, BATCH).drop(BATCH)
+def totals_so_far(stream: DataFrame, path: str, shape: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """Sums over all that was ever fed, whatever its dates: no row is late and no slot stays open.
+
+    Each batch is summed by ``shape`` and its sums are stored; reading adds them up by ``keys``. No state is
+    kept but these sums, and they are merged from time to time (``compact``).
+    """
+    spark = stream.sparkSession
+    schema = shape(spark.createDataFrame([], stream.schema)).schema
+    out = per_batch(stream, path, shape)
+    compact(spark, out, keys, schema, UNMERGED)
+    return _merged(spark, out, keys, schema)
+
+
+#: Batches whose sums are read one by one.
+UNMERGED = 50
+
 
+def _stored(spark: SparkSession, out: str) -> tuple[int, list[str], list[tuple[int, str]]]:
+    """The last batch that is merged (-1: none), the folder with all up to it, and the batches after it."""
 
-def latest_batch(spark: SparkSession, out: str) -> DataFrame:
-    """State after complete-mode batches: the last batch as a whole."""
-    rows = spark.read.parquet(out)
-    last = rows.agg(F.max(BATCH).alias(BATCH))
-    return rows.join(F.broadcast(last), BATCH, "left_semi").drop(BATCH)
+    def numbered(folder: str, mark: str) -> list[tuple[int, str]]:
+        found = [(name.partition("=")[2], os.path.join(folder, name)) for name in folders(spark, folder) if name.startswith(mark)]
+        return sorted((int(n), path) for n, path in found)
+
+    merged = [x for x in numbered(os.path.join(out, "merged"), "upto=") if exists(spark, os.path.join(x[1], "_SUCCESS"))]
+    last, base = (merged[-1][0], [merged[-1][1]]) if merged else (-1, [])
+    return last, base, [x for x in numbered(out, BATCH + "=") if x[0] > last]
+
+
+def _merged(spark: SparkSession, out: str, keys: list[str], schema: T.StructType) -> DataFrame:
+    _, base, later = _stored(spark, out)
+    paths = base + [path for _, path in later]
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in schema.names if c not in keys])
+
+
+def compact(spark: SparkSession, out: str, keys: list[str], schema: T.StructType, unmerged: int) -> None:
+    """Merge stored sums once there are more than ``unmerged`` batches.
+
+    The merged folder counts once it is complete; only then the folders that it replaces go. Run by the feed's
+    writer between two drains.
+    """
+    _, base, later = _stored(spark, out)
+    if len(later) <= unmerged:
+        return
+    upto = os.path.join(out, "merged", f"upto={later[-1][0]}")
+    _merged(spark, out, keys, schema).write.mode("overwrite").parquet(upto)
+    for path in base + [path for _, path in later]:
+        delete(spark, path)
 
 
 def store_new(stream: DataFrame, path: str) -> DataFrame:
-    """Keep a store up to date: each batch adds the revisions the store lacks."""
+    """Keep a store up to date: each batch adds the revisions the store lacks, whatever their dates."""
     out = os.path.join(path, "store")
     _drain(stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, out)), path)
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    return read_if_any(stream.sparkSession, out, stream.schema)
+
+
+def once_each(stream: DataFrame, path: str) -> DataFrame:
+    """Each revision once, however often and however late it is fed: what the store holds is not taken again."""
+    return store_new(stream, path)
 
 
 def parse_diffs(stream: DataFrame, path: str) -> DataFrame:
-    """File changes of a stream of raw diffs."""
-    out = per_batch(stream, path, "append", diffstat_from_diffs)
-    return stream.sparkSession.read.parquet(out).drop(BATCH)
+    """File changes of a stream of raw diffs. What cannot be read does not stop it; ``rejected`` lists such diffs."""
+    out = per_batch(stream, path, diffstat_from_diffs)
+    return read_if_any(stream.sparkSession, out, SCHEMAS["file_changes"])

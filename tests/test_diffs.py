@@ -7,7 +7,7 @@ import pytest
 
 from revlens.model import STAT_COLUMNS
 from revlens.operators.totals import change_totals
-from revlens.sources.diffs import SEPARATOR, diffstat_from_diffs
+from revlens.sources.diffs import SEPARATOR, diffstat_from_diffs, rejected
 
 
 def sequential(diff: bytes) -> dict:
@@ -31,8 +31,8 @@ def sequential(diff: bytes) -> dict:
                     path = path[1:-1]
                 name = path[2:] if path[:2] in ("a/", "b/") else path
         elif line.startswith("@@"):
-            old, new = re.match(r"@@ -(\S+) \+(\S+)", line).groups()
-            owed = [int(r.split(",")[1]) if "," in r else 1 for r in (old, new)]
+            for part in re.split("@@", line[2:])[0].split()[:2]:
+                owed[part[0] != "-"] = int(part.split(",")[1]) if "," in part else 1
         elif line[:1] in ("-", "+"):
             side = "+-".index(line[0])
             stat[2 * side] += len(line)
@@ -82,6 +82,7 @@ CASES = {
     "both sides null after a file": ("--- a/q\n+++ b/q\n@@ -0,0 +1 @@\n+a\n--- /dev/null\n+++ /dev/null\n@@ -0,0 +1 @@\n+b\n", {"q": (2, 1, 0, 0)}),
     "empty": ("", {}),
     "crlf": ("--- a/q\n+++ b/q\n@@ -1 +1 @@\n-a\r\n+b\r\n", {"q": (3, 1, 3, 1)}),
+    "combined diff": ("--- a/q\n+++ b/q\n@@@ -1,2 -1,2 +1,3 @@@\n- a\n +b\n--- a/z\n++c\n", {"q": (0, 0, 3, 1), "z": (3, 1, 0, 0)}),
     "end mark": (b"--- a/q\n+++ b/q\n@@ -0,0 +1 @@\n+a\n\xff\n--- a/z\n+++ b/z\n@@ -0,0 +1 @@\n+a\n", {"q": (2, 1, 0, 0)}),
 }
 
@@ -99,7 +100,10 @@ def test_malformed_hunk(spark):
     bad = "--- a/q\n+++ b/q\n@@ nonsense @@\n+a\n"
     with pytest.raises(Exception, match="bad hunk header"):
         parse(spark, [bad])
-    assert parse(spark, [bad], strict=False) == [{"q": (2, 1, 0, 0)}]
+    good = CASES["two hunks"][0]
+    assert parse(spark, [good, bad, good], strict=False) == [CASES["two hunks"][1], {"q": (2, 1, 0, 0)}, CASES["two hunks"][1]]
+    raw = spark.createDataFrame([("r", "0", good), ("r", "1", bad), ("r", "2", "@@ -1\n")], "repo string, id string, diff string")
+    assert sorted(tuple(r) for r in rejected(raw).collect()) == [("r", "1", "bad hunk header: @@ nonsense @@"), ("r", "2", "bad hunk header: @@ -1")]
 
 
 def _random_diff(rng):

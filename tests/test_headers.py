@@ -21,7 +21,21 @@ def test_git_headers(spark):
 
 def test_git_header_without_committer(spark):
     with pytest.raises(Exception, match="unable to parse"):
-        _git(spark, "h\ntree t\nauthor A <a> 1 +0000\nencoding x\n\n    m\n")
+        _git(spark, "h\ntree t\nauthor A <a> 1 +0000\nencoding x\n\n    m\n", strict=True)
+
+
+def test_bad_headers_do_not_stop_the_others(spark):
+    good = "h\ntree t\nauthor A <a> 1 +0000\ncommitter C <c> 7 +0000\n\n    m\n\0   nul\n"
+    texts = [good, "h\ntree t\nauthor A <a> 1 +0000\ncommitter C <c> then\n", "h\ntree t\n", "", good]
+    assert _git(spark, *texts) == [("A", 7, "m\nnul")] * 2
+    raw = spark.createDataFrame([("r", str(i), t) for i, t in enumerate(texts)], "repo string, id string, header string")
+    found = {r.id: r.reason for r in headers.rejected_git(raw).collect()}
+    assert found == {"1": "bad commit date: committer C <c> then", "2": "no author line", "3": "no author line"}
+    props = spark.createDataFrame([("r", "0", {"svn:date": "2011-03-01T21:29:23Z"}), ("r", "1", {"svn:date": "soon"}), ("r", "2", {})], "repo string, id string, props map<string,string>")
+    assert sorted((r.id, r.date) for r in headers.parse_svn_props(props).collect()) == [("0", 1299014963), ("2", 0)]
+    assert [tuple(r) for r in headers.rejected_svn(props).collect()] == [("r", "1", "bad date: soon")]
+    with pytest.raises(Exception, match="unable to parse"):
+        headers.parse_svn_props(props, strict=True).collect()
 
 
 def test_hg_log(spark):

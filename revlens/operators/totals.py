@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions import paths, text, times
 from revlens.model import LINE, REV, STAT_COLUMNS, ChangeLog
 from revlens.operators.ranking import ratio, sized_join
 from revlens.operators.select import attributed, dated
+from revlens.session import written
 
 TOTALS = ["files"] + STAT_COLUMNS
 
@@ -31,14 +32,22 @@ def revision_changes(revs: DataFrame, changes: DataFrame) -> DataFrame:
     return matched.unionByName(empty.withColumns({"path": F.lit(None).cast("string"), **zeros}))
 
 
-def change_totals(changes: DataFrame) -> DataFrame:
-    """Touched files and summed counters per revision."""
-    return changes.groupBy(*REV).agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in STAT_COLUMNS])
+def change_totals(changes: DataFrame, more: list[Column] | None = None) -> DataFrame:
+    """Touched files and summed counters per revision, with ``more`` aggregates from the same pass."""
+    return changes.groupBy(*REV).agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in STAT_COLUMNS], *(more or []))
 
 
-def revision_totals(revs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Revisions with their totals. Changes are summed before they meet the revisions."""
-    return with_change_totals(revs, change_totals(changes))
+def revision_totals(revs: DataFrame, changes: DataFrame, some: bool = False) -> DataFrame:
+    """Revisions with their totals. Changes are summed before they meet the revisions.
+
+    ``some``: the revisions are a selection; changes of others are dropped before they are summed.
+    """
+    return with_change_totals(revs, change_totals(of_revisions(changes, revs) if some else changes))
+
+
+def of_revisions(changes: DataFrame, revs: DataFrame) -> DataFrame:
+    """Changes of a selection of revisions, whose ids are stored first, so that a short list is broadcast."""
+    return changes.join(written(revs.select(*REV).distinct(), "selected"), REV, "left_semi")
 
 
 def with_change_totals(revs: DataFrame, sums: DataFrame) -> DataFrame:
@@ -84,13 +93,21 @@ def net_by_directory(touched: DataFrame) -> DataFrame:
     return rows.groupBy(*LINE, "directory").agg(F.sum(net_lines()).alias("loc"))
 
 
+# Names of the splits; their first letters stand for them.
 SPLITS = ("none", "authors", "files", "directories")
 
 
+def split_name(split: str) -> str:
+    """Full name of a split, or of its first letter."""
+    for name in SPLITS:
+        if split in (name, name[0]):
+            return name
+    raise ValueError(f"unknown split {split!r}")
+
+
 def activity_counts(log: ChangeLog, revs: DataFrame, split: str = "none", changes: bool = False) -> DataFrame:
     """Commits, or changed lines, per (series, date)."""
-    if split not in SPLITS:
-        raise ValueError(f"unknown split {split!r}")
+    split = split_name(split)
     rows = dated(revs)
     lines = F.col("lines_added") + F.col("lines_removed")
     if split in ("files", "directories"):

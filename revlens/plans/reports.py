@@ -1,4 +1,7 @@
-"""The reports. Each takes a ChangeLog and options and returns a lazy DataFrame.
+"""The reports. Each takes a ChangeLog and options and returns a DataFrame.
+
+Some store an intermediate that several branches of their plan need, and so run jobs when they are called; the
+rest are lazy.
 
 A report answers for every repository and branch of the log at once (one row set
 per ``repo`` and ``branch``); ``branch`` narrows it to one branch name or, as
@@ -28,14 +31,13 @@ def _revisions(log: ChangeLog, branch: str | None, datemin: str | None, datemax:
     return sel.revisions(log, branch, params.parse_date(datemin), params.parse_date(datemax))
 
 
-def _with_totals(log: ChangeLog, revs: DataFrame) -> DataFrame:
-    return totals.revision_totals(revs, log.need("file_changes"))
+def _with_totals(log: ChangeLog, revs: DataFrame, some: bool = False) -> DataFrame:
+    return totals.revision_totals(revs, log.need("file_changes"), some)
 
 
 def loc(log: ChangeLog, branch: str | None = None, datemin: str | None = None, datemax: str | None = None) -> DataFrame:
     """Lines of code over time."""
-    history = _with_totals(log, _revisions(log, branch, None, datemax))
-    daily = written(totals.net_by_date(history), "net-by-date")
+    daily = totals.net_by_date(_with_totals(log, _revisions(log, branch, None, datemax), bool(branch or datemax)))
     return sel.clip_after(series.loc_curve(daily), params.parse_date(datemin))
 
 
@@ -43,7 +45,7 @@ def authors(
     log: ChangeLog, n: int = TOP, branch: str | None = None, datemin: str | None = None, datemax: str | None = None
 ) -> DataFrame:
     """Lines added so far by each of the busiest authors, at every commit."""
-    history = sel.attributed(_with_totals(log, _revisions(log, branch, None, datemax)))
+    history = sel.attributed(_with_totals(log, _revisions(log, branch, None, datemax), bool(branch or datemax)))
     commits = written(history.select(*LINE, "date", "seq", "author", "lines_added"), "author-commits")
     names = series.top_names(totals.lines_by_author(commits), "author", "loc", n)
     points = series.with_names(commits, names)
@@ -61,7 +63,7 @@ def authors_pie(
 ) -> DataFrame:
     """Share of commits, or of added lines (then from the beginning of history), by author."""
     if changes:
-        history = _with_totals(log, _revisions(log, branch, None, datemax))
+        history = _with_totals(log, _revisions(log, branch, None, datemax), bool(branch or datemax))
         sizes = totals.lines_by_author(history).withColumnRenamed("loc", "n")
     else:
         sizes = totals.commits_by_author(_revisions(log, branch, datemin, datemax)).withColumnRenamed("commits", "n")
@@ -82,7 +84,7 @@ def activity(
     revs = _revisions(log, branch, datemin, datemax)
     counts = totals.activity_counts(log, revs, split, changes)
     cells = written(series.activity_cells(counts, totals.date_extent(revs)), "activity-cells")
-    if split != "none":
+    if totals.split_name(split) != "none":
         active = cells.groupBy(*LINE, "series").agg(F.sum("dates").alias("dates"))
         top = ranking.rank(active, LINE, "dates", ["series"], n)
         cells = ranking.keep_members(cells, top, LINE + ["series"])
@@ -96,7 +98,7 @@ def commit_counts(
     begin = params.period_start(as_of, period)
     unit = params.count_resolution(as_of - begin, resolution)
     start = params.slot_start(begin, unit)
-    counts = totals.slot_counts(_with_totals(log, sel.revisions(log, branch, start)), unit)
+    counts = totals.slot_counts(_with_totals(log, sel.revisions(log, branch, start), some=True), unit)
     return _on_slots(log, branch, counts, start, as_of, unit, ["commits", "changes"])
 
 
@@ -114,7 +116,7 @@ def participation(
     unit = params.participation_resolution(as_of - begin, resolution)
     start = params.slot_start(begin, unit)
     rows = sel.revisions(log, branch, start)
-    rows = _with_totals(log, rows) if changes else rows
+    rows = _with_totals(log, rows, some=True) if changes else rows
     counts = totals.participation(rows, author, unit, changes)
     return _on_slots(log, branch, counts, start, as_of, unit, ["own", "others"])
 
@@ -140,7 +142,7 @@ def volume(
     """
     captions = params.volume_slots(as_of, slots)
     rows = sel.revisions(log, branch)
-    rows = _with_totals(log, rows) if changes else rows
+    rows = _with_totals(log, rows, bool(branch)) if changes else rows
     amount = F.col("lines_added") + F.col("lines_removed") if changes else F.lit(1).cast("long")
     cells = [f"s{i}" for i in range(len(captions))]
     sums = [
@@ -209,7 +211,9 @@ def directories(
     sizes = moves.where("directory is not null").groupBy(*LINE, "directory").agg(F.sum("delta").alias("loc"))
     names = series.top_names(sizes, "directory", "loc", n)
     columns = series.member_columns("directory", F.col("delta"), n)
-    per_commit = series.with_names(moves, names).select(*LINE, "date", "seq", "names", *columns)
+    # of the others only the points in time are needed, and each commit has a row without a directory for that
+    shown = F.col("directory").isNull() | F.array_contains("names", F.col("directory"))
+    per_commit = series.with_names(moves, names).where(shown).select(*LINE, "date", "seq", "names", *columns)
     per_commit = per_commit.groupBy(*LINE, "date", "seq", "names").agg(
         *[F.sum(f"__v{i}").alias(f"__v{i}") for i in range(n)]
     )
@@ -274,6 +278,10 @@ def diffstat(log: ChangeLog, branch: str | None = None, id: str | None = None, n
     if id is not None:
         revs = revs.where(F.col("id") == id)
     changes = log.need("file_changes")
+    if id is not None:  # a selection by id or branch is known before any change is read
+        changes = changes.where(F.col("id") == id)
+    elif branch is not None:
+        changes = totals.of_revisions(changes, revs)
     layout = written(revs.join(totals.layout_stats(changes), REV, "left"), "layout")
     room = F.lit(WIDTH - RESERVED) - F.col("max_len")
     cramped = room < MIN_GRAPH
@@ -399,6 +407,6 @@ def check_cache(stored: DataFrame, version: int = store.STORE_VERSION, backend:
 
 def tag_marks(log: ChangeLog, pattern: str | None = None) -> DataFrame:
     """Name and date of each tag, to mark on a time series."""
-    chosen = sel.filter_tags(log.need("tags"), pattern)
-    dates = log.revisions.select(*REV, "date").distinct()
-    return chosen.join(dates, REV).select("repo", "name", "date")
+    chosen = sel.filter_tags(log.need("tags"), pattern).select("repo", "name", "id").distinct()
+    dates = log.revisions.select(*REV, "date")
+    return chosen.join(dates, REV).select("repo", "name", "id", "date").distinct().select("repo", "name", "date")

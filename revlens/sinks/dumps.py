@@ -9,7 +9,7 @@ from revlens.functions import text
 from revlens.model import LINE, REV, ChangeLog
 from revlens.operators import select as sel
 from revlens.operators.series import running_total
-from revlens.operators.totals import change_totals, net_lines, with_change_totals
+from revlens.operators.totals import change_totals, net_lines, of_revisions, with_change_totals
 from revlens.session import written
 
 # Column codes, their short forms and their titles.
@@ -55,16 +55,17 @@ def select_columns(
     names = parse_codes(columns)
     counting = "total" in names
     rows = sel.revisions(log, branch, None if counting else datemin, datemax)
-    if {"added", "removed", "delta", "total"} & set(names):
-        sums = change_totals(log.need("file_changes"))
-        rows = with_change_totals(rows, written(sums, "change-totals") if counting else sums)
+    if {"added", "removed", "delta", "total", "files"} & set(names):
+        changes, selected = log.need("file_changes"), bool(branch or datemax or (datemin and not counting))
+        # one pass for counters and paths; the format has all paths of a revision in one field
+        paths = [F.array_sort(F.collect_list("path")).alias("paths")] if "files" in names else []
+        sums = change_totals(of_revisions(changes, rows) if selected else changes, paths)
+        rows = with_change_totals(rows, sums)
     if counting:
-        rows = running_total(rows)
+        rows = written(rows, "dump-rows")
+        counted = running_total(rows.select(*LINE, "seq", "lines_added", "lines_removed"))
+        rows = rows.join(counted.select(*LINE, "seq", "total"), [*LINE, "seq"]) if "files" in names or "message" in names else running_total(rows)
     rows = sel.clip_after(rows, datemin)
-    if "files" in names:
-        # the format has all paths of a revision in one field
-        listed = log.need("file_changes").groupBy(*REV).agg(F.array_sort(F.collect_list("path")).alias("paths"))
-        rows = rows.join(listed, REV, "left")
     values = {
         "id": F.col("id"),
         "author": F.col("author"),

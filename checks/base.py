@@ -74,7 +74,7 @@ _PARTS = {
          source AS author, text AS message FROM documents)""",
     "conv": """conv AS (
   SELECT 'conversations' AS repo, 'main' AS branch, CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS id,
-         conv_id * 1048576 + turn AS seq, role AS author, text AS message FROM conversations)""",
+         conv_id * 2147483648 + turn AS seq, role AS author, text AS message FROM conversations)""",
     "tree": """tree AS (
   SELECT 'pages' AS repo, 'HEAD' AS id, ltrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS path FROM pages)""",
     "iv": """iv AS (
@@ -105,11 +105,14 @@ def sql(parts: str, body: str) -> str:
 
 
 def crc32_sql(text: str) -> str:
-    """CRC-32 of a string's bytes, bit by bit: DuckDB has no such function."""
-    byte = f"CASE WHEN k % 8 = 0 THEN CAST('0x' || substr(hex({text}), CAST(k // 4 + 1 AS BIGINT), 2) AS BIGINT) ELSE 0 END"
-    step = f"xor(xor(c, {byte}) >> 1, 3988292384 * (xor(c, {byte}) & 1))"
-    start = f"list_prepend(CAST(4294967295 AS BIGINT), range(8 * strlen({text})))"
-    return f"xor(list_reduce({start}, lambda c, k: {step}), 4294967295)"
+    """CRC-32 of a string's bytes: DuckDB has no such function.
+
+    The bytes are listed once, as pairs of hex digits, and folded through a table that is worked out bit by bit.
+    """
+    table = "list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))"
+    data = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    fold = f"list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), lambda c, b: xor(c >> 8, crc_table[CAST(xor(c, b) & 255 AS BIGINT) + 1]))"
+    return f"(SELECT xor({fold}, 4294967295) FROM (SELECT {table} AS crc_table))"
 
 
 # Day of an epoch column, as a DATE.

@@ -164,7 +164,7 @@ def fn16_display_directory(spark, folder):
     return _paths(spark, folder).select("path", paths.display_directory(F.col("path")).alias("shown"))
 
 
-@check()
+@check(f"SELECT doc_id, {crc32_sql('text')} AS crc FROM documents")
 def fn17_crc32(spark, folder):
     return adapters.table(spark, folder, "documents").select("doc_id", text.crc32(F.col("text")).alias("crc"))
 

@@ -43,9 +43,14 @@ def rank(df: DataFrame, keys: list[str], metric: str, tie: list[str], n: int) ->
     """Add ``rank`` by metric descending and keep the first ``n``.
 
     Ties go to the smaller tie column. The rank filter lets each task cut its own
-    rows down to ``n`` per key before anything is shuffled (for ``n`` up to
-    spark.sql.optimizer.windowGroupLimitThreshold, 1000 by default).
+    rows down to ``n`` per key before anything is shuffled. Spark does so for ``n``
+    up to a threshold; beyond it, salted parts of a key are cut first, so that no
+    task ever sorts a whole key.
     """
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(metric, *tie), F.lit(256)))
+        part = Window.partitionBy(*keys, "__salt").orderBy(F.col(metric).desc(), *tie)
+        df = salted.withColumn("__nth", F.row_number().over(part)).where(F.col("__nth") <= n).drop("__salt", "__nth")
     window = Window.partitionBy(*keys).orderBy(F.col(metric).desc(), *tie)
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 

@@ -19,8 +19,9 @@ from revlens.session import written
 
 _ROW = "__is_row"
 _PART = "__part"
-# Log positions per block: a block is one task's window at most.
-_BLOCK_BITS = 20
+# Blocks of log positions, and blocks of these blocks: however sparse the positions, no window partition holds
+# more than 2 ** 20 rows.
+_BLOCK_BITS = (60, 40, 20)
 _AGGREGATES = {"sum": F.sum, "max": F.max}
 
 Levels = list[tuple[str, Column]]
@@ -33,7 +34,7 @@ def by_day(date: str = "date") -> Levels:
 
 def by_position(seq: str = "seq") -> Levels:
     """Blocks for rows in log order."""
-    return [("__run", F.shiftright(F.col(seq), _BLOCK_BITS))]
+    return [(f"__run{bits}", F.shiftright(F.col(seq), bits)) for bits in _BLOCK_BITS]
 
 
 def scan(
@@ -59,17 +60,24 @@ def scan(
 
 
 def range_scan(
-    rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], exclusive: bool = False
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    values: dict[str, tuple[str, Column]],
+    exclusive: bool = False,
+    ranges: int | None = None,
 ) -> DataFrame:
     """``scan`` over any unique order, such as (date, seq), even if most rows share a date.
 
     The rows are range-partitioned by key and order, which balances them however
     they are distributed, and written once together with their partition number:
-    as a stored value it stays the same in every later read or retry.
+    as a stored value it stays the same in every later read or retry. ``ranges`` is
+    their number, as many as shuffle partitions by default: a window cannot be split
+    afterwards, so choose it for some hundred MB of rows each.
     """
     staged = rows.withColumns({name: expr for name, (_, expr) in values.items()})
     kinds = {name: kind for name, (kind, _) in values.items()}
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = staged.repartitionByRange(parts, *keys, *order).withColumn(_PART, F.spark_partition_id())
     return _scan(written(ranged, "ranges"), keys, [_PART], order, kinds, exclusive).drop(_PART)
 

@@ -117,8 +117,8 @@ def documents_log(spark: SparkSession, folder: str) -> ChangeLog:
     return ChangeLog(revs)
 
 
-# Upper bound of a conversation's turns in one log position step.
-_TURNS = 1 << 20
+# Log positions for each conversation; a turn beyond them is an error, never a wrong order.
+_TURNS = 1 << 31
 
 
 def conversations_log(spark: SparkSession, folder: str) -> ChangeLog:
@@ -130,7 +130,9 @@ def conversations_log(spark: SparkSession, folder: str) -> ChangeLog:
         F.lit("main").alias("branch"),
         id.alias("id"),
         _no_parent(),
-        (F.col("conv_id") * _TURNS + F.col("turn")).alias("seq"),
+        F.when(F.col("turn").between(0, _TURNS - 1), F.col("conv_id") * _TURNS + F.col("turn"))
+        .otherwise(F.raise_error(F.lit("a turn is out of range")).cast("long"))
+        .alias("seq"),
         F.lit(0).cast("long").alias("date"),
         F.col("role").alias("author"),
         F.col("text").alias("message"),

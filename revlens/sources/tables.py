@@ -84,15 +84,16 @@ def cat(log: ChangeLog, requests: DataFrame) -> DataFrame:
     """
     spot = ["repo", "path"]
     versions = log.need("contents")
-    # exact duplicates of a request get the same answer; the last position stands for null
-    head = F.lit(2**62).cast("long")
-    asked = requests.withColumn("at", F.coalesce("seq", head))
+    # exact duplicates of a request get the same answer
+    asked = requests.where("seq is not null")
     marks = versions.select(*spot, F.col("seq").alias("at"), F.lit(0).alias("kind"), F.col("seq").alias("version"))
-    probes = asked.select(*spot, "at").distinct().select(
+    probes = asked.select(*spot, F.col("seq").alias("at")).distinct().select(
         *spot, "at", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("version")
     )
     line = scan(marks.unionByName(probes), spot, ["at", "kind"], {"version": ("max", F.col("version"))}, by_position("at"))
-    found = line.where("kind = 1 and version is not null").select(*spot, "at", "version")
-    answered = asked.join(found, spot + ["at"])
+    found = line.where("kind = 1 and version is not null").select(*spot, F.col("at").alias("seq"), "version")
+    newest = versions.groupBy(*spot).agg(F.max("seq").alias("version"))
+    heads = requests.where("seq is null").join(newest, spot).select(*spot, "seq", "version")
+    answered = asked.select(*spot, "seq").join(found, spot + ["seq"]).unionByName(heads)
     body = versions.select(*spot, F.col("seq").alias("version"), "id", "content")
     return answered.join(body, spot + ["version"]).select(*spot, "seq", "version", "id", "content")

@@ -138,4 +138,4 @@ def once_each(stream: DataFrame, path: str) -> DataFrame:
 def parse_diffs(stream: DataFrame, path: str) -> DataFrame:
     """File changes of a stream of raw diffs. What cannot be read does not stop it; ``rejected`` lists such diffs."""
     out = per_batch(stream, path, diffstat_from_diffs)
-    return read_if_any(stream.sparkSession, out, SCHEMAS["file_changes"])
+    return read_if_any(stream.sparkSession, out, SCHEMAS["file_changes"]).drop(BATCH)

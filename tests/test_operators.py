@@ -122,6 +122,43 @@ def test_first_parent_chain(spark):
     assert got == want
 
 
+def test_shared_history_is_listed_once(spark):
+    trunk = [("r", str(i), str(i - 1) if i else None) for i in range(200)]
+    side = [("r", f"s{k}.{j}", f"s{k}.{j - 1}" if j else str(10 * k)) for k in range(20) for j in range(k % 4 + 1)]
+    dag = spark.createDataFrame(trunk + side, "repo string, id string, parent_id string")
+    heads = [("r", "main", "199"), ("r", "same", "150")] + [("r", f"side{k:02}", f"s{k}.{k % 4}") for k in range(20)]
+    heads = spark.createDataFrame(heads, "repo string, branch string, head_id string")
+    history, joins = lineage.first_parent_history(dag, heads)
+    rows = history.collect()
+    assert len(rows) == len({r.id for r in rows}) == 200 + len(side)
+    assert {(r.branch, r.depth) for r in rows if r.id == "150"} == {("main", 49)}
+    found = {(r.branch, r.onto, r["at"]) for r in joins.collect()}
+    assert found == {("same", "main", "150")} | {(f"side{k:02}", "main", str(10 * k)) for k in range(20)}
+    alone = {r.id: r.depth for r in lineage.first_parent_chain(dag, heads, "side03").collect()}
+    assert alone == {f"s3.{j}": 3 - j for j in range(4)} | {str(30 - d): 4 + d for d in range(31)}
+
+
+def test_circular_parents_are_an_error(spark):
+    ring = [("r", str(i), str((i + 1) % 40)) for i in range(40)]
+    dag = spark.createDataFrame(ring, "repo string, id string, parent_id string")
+    heads = spark.createDataFrame([("r", "main", "0")], "repo string, branch string, head_id string")
+    with pytest.raises(ValueError, match="circle"):
+        lineage.first_parent_chain(dag, heads)
+
+
+def test_sparse_and_extreme_positions(spark):
+    rows = [("k", i << 22, 1) for i in range(300)] + [("k", s, 1) for s in (-(2**63), -5, 2**62 + 1, 2**63 - 1)]
+    df = spark.createDataFrame(rows, "key string, seq bigint, v bigint")
+    got = scan(df, ["key"], ["seq"], {"total": ("sum", F.col("v"))}, by_position()).collect()
+    assert {r.seq: r.total for r in got} == {s: i + 1 for i, (_, s, _) in enumerate(sorted(rows, key=lambda r: r[1]))}
+
+
+def test_rank_of_many(spark):
+    df = spark.range(6000).selectExpr("'r' AS repo", "id % 700 AS n", "cast(id as string) AS author")
+    got = [(r.n, r.author) for r in ranking.rank(df, ["repo"], "n", ["author"], 2000).orderBy("rank").collect()]
+    assert got == sorted(((i % 700, str(i)) for i in range(6000)), key=lambda x: (-x[0], x[1]))[:2000]
+
+
 def test_spread_join_keeps_all(spark):
     facts = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(500)], "key string, i bigint")
     dims = facts.groupBy("key").agg(F.count("*").alias("n"))

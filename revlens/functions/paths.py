@@ -7,27 +7,45 @@ from pyspark.sql import functions as F
 
 # File extension to language name.
 LANGUAGES = {
-    "C/C++": ".h .hxx .hpp .c .cc .cxx .cpp .txx",
-    "Java": ".java",
-    "Lua": ".lua",
-    "Assembly": ".s",
-    "Perl": ".pl .pm",
-    "Shell": ".sh",
-    "Python": ".py",
-    "Text": ".txt",
-    "Gettext": ".po",
-    "Autotools": ".m4 .at .ac .am",
-    "HTML": ".htm .html .xhtml",
-    "Batch": ".bat",
-    "C#": ".cs",
-    "Haskell": ".hs .lhs",
-    "JavaScript": ".js",
-    "PHP": ".php .php4 .php5",
-    "Scheme": ".scm .ss",
-    "Visual Basic": ".vb .vbs",
-    "Go": ".go",
-    "Ruby": ".rb",
-    "Objective-C": ".m",
+    ".h": "C/C++",
+    ".hxx": "C/C++",
+    ".hpp": "C/C++",
+    ".c": "C/C++",
+    ".cc": "C/C++",
+    ".cxx": "C/C++",
+    ".cpp": "C/C++",
+    ".txx": "C/C++",
+    ".java": "Java",
+    ".lua": "Lua",
+    ".s": "Assembly",
+    ".pl": "Perl",
+    ".pm": "Perl",
+    ".sh": "Shell",
+    ".py": "Python",
+    ".txt": "Text",
+    ".po": "Gettext",
+    ".m4": "Autotools",
+    ".at": "Autotools",
+    ".ac": "Autotools",
+    ".am": "Autotools",
+    ".htm": "HTML",
+    ".html": "HTML",
+    ".xhtml": "HTML",
+    ".bat": "Batch",
+    ".cs": "C#",
+    ".hs": "Haskell",
+    ".lhs": "Haskell",
+    ".js": "JavaScript",
+    ".php": "PHP",
+    ".php4": "PHP",
+    ".php5": "PHP",
+    ".scm": "Scheme",
+    ".ss": "Scheme",
+    ".vb": "Visual Basic",
+    ".vbs": "Visual Basic",
+    ".go": "Go",
+    ".rb": "Ruby",
+    ".m": "Objective-C",
 }
 NO_LANGUAGE = "unknown"
 
@@ -65,7 +83,7 @@ def extension(path: Column) -> Column:
 
 def language(path: Column) -> Column:
     """Language name of a path, the upper-cased extension when the language is not known."""
-    pairs = [F.lit(x) for name, exts in LANGUAGES.items() for ext in exts.split() for x in (ext, name)]
+    pairs = [F.lit(x) for pair in LANGUAGES.items() for x in pair]
     ext = extension(path)
     known = F.try_element_at(F.create_map(*pairs), ext)
     return F.coalesce(known, F.upper(F.substr(ext, F.lit(2))), F.lit(NO_LANGUAGE))

@@ -93,6 +93,7 @@ def change_bar(mark: str, count: Column, width: Column, largest: Column) -> Colu
 
 def summary_line(files: Column, added: Column, removed: Column) -> Column:
     """' 2 files changed, 1 insertion(+)': counted nouns, zero parts left out."""
+    # The words of the line.
 
     def part(n: Column, noun: str, sign: str) -> Column:
         plural = F.when(n > 1, F.lit("s")).otherwise(F.lit(""))

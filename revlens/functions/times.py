@@ -155,6 +155,7 @@ def age_phrase(span: Column) -> Column:
     """'3 days old': the largest elapsed unit of a non-negative span of seconds."""
     elapsed = to_date(span)
     years = F.year(elapsed) - 1970
+    # Thresholds and phrases.
 
     def count(n: Column, unit: str) -> Column:
         return F.concat(n.cast("string"), F.lit(f" {unit} old"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +52,40 @@ def fold_by(
 
     once = salted.groupBy(*keys, "__salt").applyInPandas(merge_part, schema)
     return once.groupBy(*keys).applyInPandas(merge_part, schema)
+
+
+def fold_in_order(
+    revs: DataFrame,
+    keys: list[str],
+    fold: Callable[[pd.DataFrame], pd.DataFrame],
+    merge: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+    order: str = "seq",
+) -> DataFrame:
+    """Fold each group in log order, for user code that depends on it.
+
+    ``fold`` turns a run of neighbouring rows of a group, in order, into one row of ``schema``, which has the
+    keys; ``merge`` turns the rows of neighbouring runs, in order, into one. Rows are dealt by ranges of keys and
+    order, so a large group is folded by many tasks; in the end one row for each task and group is merged.
+    """
+    ranged = revs.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+
+    def fold_runs(batches):
+        part, held, last = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            for key, run in batch.groupby(keys, sort=False, dropna=False):
+                row = fold(run)
+                if held is not None and repr(key) == last:
+                    held = merge(pd.concat([held, row], ignore_index=True))
+                else:
+                    if held is not None:
+                        yield held.assign(part=part)
+                    held, last = row, repr(key)
+        if held is not None:
+            yield held.assign(part=part)
+
+    def merge_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        return merge(pdf.sort_values("part").drop(columns="part").reset_index(drop=True))
+
+    partial = ranged.mapInPandas(fold_runs, f"{schema}, part int")
+    return partial.groupBy(*keys).applyInPandas(merge_runs, schema)

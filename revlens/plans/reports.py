@@ -35,14 +35,29 @@ def _with_totals(log: ChangeLog, revs: DataFrame, some: bool = False) -> DataFra
     return totals.revision_totals(revs, log.need("file_changes"), some)
 
 
-def loc(log: ChangeLog, branch: str | None = None, datemin: str | None = None, datemax: str | None = None) -> DataFrame:
-    """Lines of code over time."""
+def _tagged(log: ChangeLog, points: DataFrame, tags: str | None) -> DataFrame:
+    """With a pattern, ``points`` get a column of the names of the tags on their date, comma-separated."""
+    if tags is None:
+        return points
+    marks = tag_marks(log, tags).groupBy("repo", "date").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("tags"))
+    return points.join(written(marks, "tag-marks"), ["repo", "date"], "left").select(*points.columns, "tags")
+
+
+def loc(
+    log: ChangeLog, branch: str | None = None, datemin: str | None = None, datemax: str | None = None, tags: str | None = None
+) -> DataFrame:
+    """Lines of code over time. ``tags``, a pattern, adds the tags on each date."""
     daily = totals.net_by_date(_with_totals(log, _revisions(log, branch, None, datemax), bool(branch or datemax)))
-    return sel.clip_after(series.loc_curve(daily), params.parse_date(datemin))
+    return _tagged(log, sel.clip_after(series.loc_curve(daily), params.parse_date(datemin)), tags)
 
 
 def authors(
-    log: ChangeLog, n: int = TOP, branch: str | None = None, datemin: str | None = None, datemax: str | None = None
+    log: ChangeLog,
+    n: int = TOP,
+    branch: str | None = None,
+    datemin: str | None = None,
+    datemax: str | None = None,
+    tags: str | None = None,
 ) -> DataFrame:
     """Lines added so far by each of the busiest authors, at every commit."""
     history = sel.attributed(_with_totals(log, _revisions(log, branch, None, datemax), bool(branch or datemax)))
@@ -50,7 +65,7 @@ def authors(
     names = series.top_names(totals.lines_by_author(commits), "author", "loc", n)
     points = series.with_names(commits, names)
     points = points.select(*LINE, "date", "seq", "names", *series.member_columns("author", F.col("lines_added"), n))
-    return sel.clip_after(series.top_series(points, n, "author", "loc"), params.parse_date(datemin))
+    return _tagged(log, sel.clip_after(series.top_series(points, n, "author", "loc"), params.parse_date(datemin)), tags)
 
 
 def authors_pie(
@@ -79,8 +94,12 @@ def activity(
     branch: str | None = None,
     datemin: str | None = None,
     datemax: str | None = None,
+    tags: str | None = None,
 ) -> DataFrame:
-    """Smoothed activity curves, of all commits or of the series active on most dates."""
+    """Smoothed activity curves, of all commits or of the series active on most dates.
+
+    ``tags``, a pattern, adds a row for each tag: its name as series, its date as x, no point and no y.
+    """
     revs = _revisions(log, branch, datemin, datemax)
     counts = totals.activity_counts(log, revs, split, changes)
     cells = written(series.activity_cells(counts, totals.date_extent(revs)), "activity-cells")
@@ -88,7 +107,12 @@ def activity(
         active = cells.groupBy(*LINE, "series").agg(F.sum("dates").alias("dates"))
         top = ranking.rank(active, LINE, "dates", ["series"], n)
         cells = ranking.keep_members(cells, top, LINE + ["series"])
-    return series.smooth_cells(cells)
+    curves = series.smooth_cells(cells)
+    if tags is None:
+        return curves
+    named = sel.filter_tags(log.need("tags"), tags).join(sel.dated(revs).select(*LINE, "id", "date"), REV)
+    marks = named.select(*LINE, F.col("name").alias("series"), F.col("date").cast("double").alias("x")).distinct()
+    return curves.unionByName(marks, allowMissingColumns=True)
 
 
 def commit_counts(
@@ -199,7 +223,12 @@ def commit_times(
 
 
 def directories(
-    log: ChangeLog, n: int = TOP, branch: str | None = None, datemin: str | None = None, datemax: str | None = None
+    log: ChangeLog,
+    n: int = TOP,
+    branch: str | None = None,
+    datemin: str | None = None,
+    datemax: str | None = None,
+    tags: str | None = None,
 ) -> DataFrame:
     """Net lines so far in each of the largest directories, at every commit."""
     revs = _revisions(log, branch, None, datemax).select(*LINE, "id", "date", "seq")
@@ -219,7 +248,7 @@ def directories(
     )
     grid = series.top_series(per_commit, n, "directory", "loc")
     shown = grid.withColumn("directory", paths.display_directory(F.col("directory")))
-    return sel.clip_after(shown, params.parse_date(datemin))
+    return _tagged(log, sel.clip_after(shown, params.parse_date(datemin)), tags)
 
 
 def filetypes(log: ChangeLog, id: str | None = None, n: int = TOP, pie: bool = False) -> DataFrame:

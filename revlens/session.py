@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,7 @@ def build_session(master: str | None = None, app: str = "revlens", **extra: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by spark.checkpoint.dir.
 
-    Only a local session without that setting gets a folder of its own.
+    The setting is required. Only for tests a local session without it gets a folder of its own.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -52,6 +54,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+_OWNED: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate results stored inside the block when it ends: consume what was built there before.
+
+    ``with temporary(spark): reports.authors(log).write.parquet(path)``
+    """
+    paths: list[str] = []
+    _OWNED.append(paths)
+    try:
+        yield
+    finally:
+        _OWNED.remove(paths)
+        for path in paths:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Store an intermediate result below the shared folder and read it back.
 
@@ -59,5 +81,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     survives lost executors, and the plans behind it start at a file scan.
     """
     path = scratch_path(df.sparkSession, label)
+    if _OWNED:
+        _OWNED[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -251,3 +251,23 @@ def test_store_append_audit_repair(spark, tmp_path):
     fixed = store.repair(spark, broken, str(tmp_path / "fixed"))
     assert sorted(r.id for r in fixed.collect()) == ["1", "2", "4"]
     assert store.corrupted(fixed).count() == 0
+
+
+def test_fold_in_order(spark):
+    import pandas as pd
+
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randint(0, 5)}", i, rng.choice("ab")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, seq bigint, x string").repartition(5)
+
+    def fold(pdf):
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "text": ["".join(pdf["x"])]})
+
+    def merge(pdf):
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "text": ["".join(pdf["text"])]})
+
+    want = {}
+    for key, _, x in rows:
+        want[key] = want.get(key, "") + x
+    got = extend.fold_in_order(df, ["key"], fold, merge, "key string, text string").collect()
+    assert {r.key: r.text for r in got} == want

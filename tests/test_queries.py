@@ -1,8 +1,4 @@
-"""Registered queries against their SQL twins on the smallest data set.
-
-ALL_QUERIES=1 runs every one; by default the operators that the reports are built
-from are left to the reports.
-"""
+"""All registered queries against their SQL twins on the smallest data set."""
 
 import os
 
@@ -19,8 +15,7 @@ def duck():
     return verify.open_duck(FOLDER)
 
 
-END_TO_END = ("rpt", "src", "str", "udx", "inc6", "inc7", "win7", "jon6")
-NAMES = sorted(n for n in verify.ENTRIES if os.environ.get("ALL_QUERIES") or n.startswith(END_TO_END))
+NAMES = sorted(verify.ENTRIES)
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -231,3 +231,24 @@ def test_churn_and_layout(history):
     assert {r.author: r.churn for r in totals.churn(rows, ["author"]).collect()}["bob"] == 21
     stats = {r.id: (r.max_len, r.max_change) for r in totals.layout_stats(history.file_changes).collect()}
     assert stats["r1"] == (7, 10)
+
+
+def test_tags_on_time_series(history):
+    marks = {r.tags: r.date for r in reports.loc(history, branch="main", tags="^v").collect() if r.tags}
+    assert list(marks) == ["v1"]
+    for report in (reports.authors, reports.directories):
+        assert {r.tags for r in report(history, branch="main", tags=".").collect()} == {None, "v1", "rc-1"}
+    curves = reports.activity(history, "a", branch="main", tags="^v").collect()
+    assert [(r.series, r.x) for r in curves if r.point is None] == [("v1", float(marks["v1"]))]
+    assert {r.series for r in reports.activity(history, "authors", branch="main").collect()} == {r.series for r in curves} - {"v1"}
+
+
+def test_intermediates_are_deleted_with_their_owner(history, spark):
+    import os
+
+    from revlens.session import shared_dir, temporary
+
+    before = set(os.listdir(shared_dir(spark)))
+    with temporary(spark):
+        assert reports.authors(history).count() > 0
+    assert set(os.listdir(shared_dir(spark))) == before

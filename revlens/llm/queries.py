@@ -62,7 +62,33 @@ def op8_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
-@query()
+CONTAMINATION_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS win
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d JOIN lens ON len(w) >= n)),
+hit AS (SELECT r, k, n, item_id FROM dw JOIN iw USING (win, n)),
+marked AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT r, k, n FROM hit)) GROUP BY r),
+names AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN marked USING (r) LEFT JOIN names USING (r)
+"""
+
+
+@query(CONTAMINATION_SQL)
 def op9_decontamination(spark, folder):
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 

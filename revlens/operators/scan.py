@@ -19,9 +19,9 @@ from revlens.session import written
 
 _ROW = "__is_row"
 _PART = "__part"
-# Blocks of log positions, and blocks of these blocks: however sparse the positions, no window partition holds
-# more than 2 ** 20 rows.
-_BLOCK_BITS = (60, 40, 20)
+# Blocks of log positions, and blocks of these blocks: however sparse the positions, a window partition holds
+# 2 ** 20 rows, or 2 ** 24 block totals, at most.
+_BLOCK_BITS = (40, 20)
 _AGGREGATES = {"sum": F.sum, "max": F.max}
 
 Levels = list[tuple[str, Column]]

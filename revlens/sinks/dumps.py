@@ -62,9 +62,7 @@ def select_columns(
         sums = change_totals(of_revisions(changes, rows) if selected else changes, paths)
         rows = with_change_totals(rows, sums)
     if counting:
-        rows = written(rows, "dump-rows")
-        counted = running_total(rows.select(*LINE, "seq", "lines_added", "lines_removed"))
-        rows = rows.join(counted.select(*LINE, "seq", "total"), [*LINE, "seq"]) if "files" in names or "message" in names else running_total(rows)
+        rows = running_total(written(rows, "dump-rows"))
     rows = sel.clip_after(rows, datemin)
     values = {
         "id": F.col("id"),

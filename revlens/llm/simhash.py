@@ -10,7 +10,7 @@ member of each of its groups, not all pairs; groups that overlap are joined over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations, islice, repeat
 
 import numpy as np
@@ -248,8 +248,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, bucke
     Where ids are null or occur more than once, rows are told apart by their fingerprints, and of rows that agree in
     both one stays.
     """
+    return least_of_each(docs, near_duplicates(docs, words, radius, bucket), lambda text: fingerprint(text, words))
+
+
+def least_of_each(docs: DataFrame, found: DataFrame, bits_of: Callable[[bytes], int]) -> DataFrame:
+    """Of each group in ``found`` (doc_id, fingerprint, component_id) the smallest doc_id; ``bits_of`` gives a text's fingerprint."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    found = near_duplicates(docs, words, radius, bucket)
     if ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
         gone = written(found.where("doc_id <> component_id").select("doc_id"), "gone")
         return docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
@@ -257,7 +261,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, bucke
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows.slices(batches):
-            bits = np.array([fingerprint(x, words) for x in rows.blobs(batch.column(at))], "<u8")
+            bits = np.array([bits_of(x) for x in rows.blobs(batch.column(at))], "<u8")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits.view("<i8"))], [*batch.schema.names, "_fp"])
 
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print")).distinct()

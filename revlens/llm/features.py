@@ -65,11 +65,13 @@ def word_hashes(text: str) -> set[int]:
 def sampled(docs: DataFrame, labels: DataFrame, names: list[str], bound: int) -> DataFrame:
     """At most ``bound`` labelled documents, those whose ids hash lowest: doc_id, text, and a label (0 or 1) for each name.
 
-    Labels of an id that occurs more than once: the largest counts. Null ids and labels are left out.
+    Labels of an id that occurs more than once: the largest counts. Null ids and labels are left out. Of an id's
+    documents the text with the lowest hash is taken, so that the rows are as bounded as the ids.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(n).cast("int").alias(n) for n in names]).dropna()
     one = known.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return rows.id_text(docs).join(F.broadcast(one), "doc_id")  # ``bound`` rows of numbers
+    found = rows.id_text(docs).join(F.broadcast(one), "doc_id")  # ``bound`` rows of numbers
+    return found.groupBy("doc_id", *names).agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("own")).select("doc_id", "own.text", *names)
 
 
 def described(sample: DataFrame, names: list[str], with_words: bool) -> dict[str, np.ndarray | list]:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, chat, decontamination, gam, merkle, packing, records, simhash, suffixes, toxicity
+from revlens.llm import bpe, chat, collisions, decontamination, gam, merkle, negatives, packing, records, repair, repair_sql, simhash, suffixes, toxicity
 
 
 @dataclass(frozen=True)
@@ -138,3 +138,36 @@ FROM results r ANTI JOIN calls c ON c.conv_id = r.conv_id AND c.call_id = r.call
 def op3_chat_tool_calls(spark, folder):
     calls, results = chat.turn_calls(table(spark, folder, "conversations"))
     return chat.formatted(calls, results, spark.createDataFrame(chat.TOOLS, "name string, field string, kind string, required boolean"))
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, v.vec_id AS id, v.label, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score, CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS INTEGER) AS positive_rank
+  FROM s WHERE own = label QUALIFY positive_rank <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score, positive_rank
+FROM p JOIN s USING (anchor_id) WHERE own <> label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+
+@query(NEGATIVES_SQL)
+def op11_hard_negatives(spark, folder):
+    points = negatives.relabelled(table(spark, folder, "embeddings"))
+    return negatives.hard_negatives(points, points.where("vec_id % 100 = 0"))
+
+
+@query(repair_sql.SQL)
+def op12_conversation_repair(spark, folder):
+    return repair.repaired_after_damage(table(spark, folder, "conversations"))
+
+
+@query()
+def op13_collision_neighbours(spark, folder):
+    points = table(spark, folder, "embeddings")
+    return collisions.nearest(points, points.where("vec_id % 100 = 0"))

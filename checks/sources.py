@@ -11,7 +11,7 @@ from revlens.operators import totals
 from revlens.plans import reports
 from revlens.session import scratch_path
 from revlens.sinks import dumps
-from revlens.sources import adapters, diffs, headers, tables
+from revlens.sources import adapters, diffs, headers, pieces, tables
 
 ENTRIES, check = registry()
 
@@ -80,6 +80,16 @@ def src5_turn_diffs(spark, folder):
     return diffs.diffstat_from_diffs(adapters.turn_patches(spark, folder))
 
 
+@check(
+    f"""SELECT 'documents' AS repo, lang AS id, 'docs/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path,
+  CAST(strlen(text) + 1 AS BIGINT) AS bytes_added, CAST(len(string_split(text, {NL})) AS BIGINT) AS lines_added,
+  CAST(0 AS BIGINT) AS bytes_removed, CAST(0 AS BIGINT) AS lines_removed FROM documents"""
+)
+def src5_pieced_diffs(spark, folder):
+    """All documents of a language as one diff, cut into pieces of a kilobyte."""
+    return pieces.diffstat_from_pieces(adapters.language_patches(spark, folder))
+
+
 @check(sql("tree", "SELECT repo, id, path FROM tree"))
 def src6_tree(spark, folder):
     return tables.tree(adapters.pages_log(spark, folder))

@@ -86,3 +86,10 @@ def str6_store(spark, folder):
 def str7_diffs(spark, folder):
     patches = adapters.document_patches(spark, folder, _feed(spark, folder, "documents"))
     return feeds.parse_diffs(patches, scratch_path(spark, "diffs"))
+
+
+@check(_SOURCES["src5_pieced_diffs"].sql)
+def str7_pieced_diffs(spark, folder):
+    """Pieces of the languages' diffs as a stream."""
+    own = adapters.language_patches(spark, folder, documents=_feed(spark, folder, "documents"))
+    return feeds.parse_pieces(own, scratch_path(spark, "pieces"))

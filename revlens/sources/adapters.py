@@ -13,6 +13,7 @@ from revlens.functions import times
 from revlens.model import LINE, REV, STAT_COLUMNS, ChangeLog
 from revlens.operators.scan import range_scan
 from revlens.operators.store import seal
+from revlens.sources.pieces import cut
 from revlens.sources.tables import branches
 
 def _no_parent():
@@ -190,8 +191,8 @@ def _line_count(text):
     return F.size(F.split(text, "\n", -1)).cast("string")
 
 
-def document_patches(spark: SparkSession, folder: str, documents: DataFrame | None = None) -> DataFrame:
-    """Each document as the diff that adds it; ``documents`` may be a stream."""
+def document_patches(spark: SparkSession, folder: str, documents: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Each document as the diff that adds it; ``documents`` may be a stream. ``keep`` names further columns."""
     docs = table(spark, folder, "documents") if documents is None else documents
     head = F.concat(
         F.lit("--- /dev/null\n+++ b/docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"),
@@ -201,9 +202,17 @@ def document_patches(spark: SparkSession, folder: str, documents: DataFrame | No
         F.lit("documents").alias("repo"),
         F.col("doc_id").cast("string").alias("id"),
         F.concat(head, _prefixed(F.col("text"), "+")).alias("diff"),
+        *(keep or []),
     )
 
 
+def language_patches(spark: SparkSession, folder: str, size: int = 1024, documents: DataFrame | None = None) -> DataFrame:
+    """The patches of all documents of a language as one diff, in pieces of ``size`` bytes: a few revisions hold everything."""
+    own = cut(document_patches(spark, folder, documents, ["lang"]), size, ["lang"])
+    piece = F.shiftleft(F.col("id").cast("long"), 20) + F.col("piece")
+    return own.select("repo", F.col("lang").alias("id"), piece.alias("piece"), "diff")
+
+
 def turn_patches(spark: SparkSession, folder: str) -> DataFrame:
     """Each later turn of a conversation as the diff that replaces the turn before it."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")

@@ -76,7 +76,7 @@ def rejected(raw: DataFrame) -> DataFrame:
     return found.select(*REV, F.concat(F.lit("bad hunk header: "), "line").alias("reason"))
 
 
-def _path(text: Column) -> Column:
+def file_name(text: Column) -> Column:
     """File name of a header line; null for /dev/null."""
     name = F.substring_index(F.substr(text, F.lit(5)), "\t", 1)
     bare = F.when(
@@ -133,7 +133,7 @@ def diffstat_from_diffs(raw: DataFrame, strict: bool = False) -> DataFrame:
         "is_header",
         "kind",
         "size",
-        F.when(F.col("is_header"), _path(F.col("text"))).alias("name"),
+        F.when(F.col("is_header"), file_name(F.col("text"))).alias("name"),
     )
     body = ~F.col("is_header")
 

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions import times
-from revlens.model import LINE, SCHEMAS
+from revlens.model import LINE
 from revlens.operators.store import append_new, delete, exists, folders, is_file, read_if_any
 from revlens.sources.diffs import diffstat_from_diffs
+from revlens.sources.pieces import folded, read_pieces
 
 BATCH = "batch_id"
 
@@ -101,15 +102,18 @@ def _stored(spark: SparkSession, out: str) -> tuple[int, list[str], list[tuple[i
     return last, base, [x for x in numbered(out, BATCH + "=") if x[0] > last]
 
 
-def _merged(spark: SparkSession, out: str, keys: list[str], schema: T.StructType) -> DataFrame:
+def _merged(spark: SparkSession, out: str, keys: list[str] | None, schema: T.StructType) -> DataFrame:
+    """All that is stored: sums by ``keys``, or (None) the rows themselves."""
     _, base, later = _stored(spark, out)
     paths = base + [path for _, path in later]
     rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    if keys is None:
+        return rows
     return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in schema.names if c not in keys])
 
 
-def compact(spark: SparkSession, out: str, keys: list[str], schema: T.StructType, unmerged: int) -> None:
-    """Merge stored sums once there are more than ``unmerged`` batches.
+def compact(spark: SparkSession, out: str, keys: list[str] | None, schema: T.StructType, unmerged: int) -> None:
+    """Merge stored sums, or rows, once there are more than ``unmerged`` batches.
 
     The merged folder counts once it is complete; only then the folders that it replaces go. Run by the feed's
     writer between two drains.
@@ -135,7 +139,23 @@ def once_each(stream: DataFrame, path: str) -> DataFrame:
     return store_new(stream, path)
 
 
+def rows_so_far(stream: DataFrame, path: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The shaped rows of all batches; their folders are merged from time to time."""
+    spark = stream.sparkSession
+    schema = shape(spark.createDataFrame([], stream.schema)).schema
+    out = per_batch(stream, path, shape)
+    compact(spark, out, None, schema, UNMERGED)
+    return _merged(spark, out, None, schema)
+
+
 def parse_diffs(stream: DataFrame, path: str) -> DataFrame:
     """File changes of a stream of raw diffs. What cannot be read does not stop it; ``rejected`` lists such diffs."""
-    out = per_batch(stream, path, diffstat_from_diffs)
-    return read_if_any(stream.sparkSession, out, SCHEMAS["file_changes"]).drop(BATCH)
+    return rows_so_far(stream, path, diffstat_from_diffs)
+
+
+def parse_pieces(stream: DataFrame, path: str) -> DataFrame:
+    """File changes of a stream of pieces of diffs (repo, id, piece, diff), whichever batches the pieces of a diff come in.
+
+    What each batch stores is a summary of its pieces; the summaries of all batches are folded when they are read.
+    """
+    return folded(rows_so_far(stream, path, read_pieces))

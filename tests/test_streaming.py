@@ -107,3 +107,14 @@ def test_a_single_file_is_a_feed(spark, tmp_path):
     _write(spark, folder, _rows(range(4)))
     (name,) = [n for n in os.listdir(folder) if n.endswith(".parquet")]
     assert feeds.append_to(_feed(spark, os.path.join(folder, name)), str(tmp_path / "out")).count() == 4
+
+
+def test_pieces_of_a_diff_come_in_any_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "UNMERGED", 2)
+    diff = b"--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n-a\n-b\n+c\n--- a/g\n+d\n--- a/g\n+++ b/g\n@@ -0,0 +1 @@\n+xyz\n"
+    schema = "repo string, id string, piece long, diff binary"
+    source, pieces = str(tmp_path / "in"), [("r", "1", i, diff[i * 13 : i * 13 + 13]) for i in range(7)]
+    for part in (pieces[4:], pieces[:1], pieces[2:4], pieces[1:2]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        got = feeds.parse_pieces(feeds.feed(spark, source, spark.createDataFrame([], schema).schema, 1), str(tmp_path / "out"))
+    assert sorted((r.path, r.lines_added, r.lines_removed, r.bytes_added) for r in got.collect()) == [("f", 2, 3, 4), ("g", 1, 0, 4)]

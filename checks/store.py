@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import crc32_sql, registry, sql
 from revlens.model import REV
-from revlens.operators import intervals, store
+from revlens.operators import filed, intervals, store
 from revlens.session import scratch_path
 from revlens.sources import adapters
 
@@ -28,6 +28,33 @@ def inc1_append_new(spark, folder):
     return store.append_new(revs.unionByName(revs), path)
 
 
+@check(sql("ev", "SELECT repo, id, seq, date, author, message FROM ev"))
+def inc1_filed_append(spark, folder):
+    """As ``inc1_append_new``, on a store that opens only files that may hold the ids."""
+    path = scratch_path(spark, "filed")
+    revs = adapters.events_log(spark, folder).revisions.select(*REV, "seq", "date", "author", "message")
+    filed.append(revs.where("message = 'view'"), path)
+    return filed.append(revs.unionByName(revs), path)
+
+
+@check(
+    sql(
+        "ev",
+        """WITH n AS (SELECT seq % 4 AS batch, count(*) AS offered, count(*) AS added FROM ev GROUP BY 1)
+SELECT batch, offered, added, CAST(coalesce(sum(added) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS store_rows,
+  CAST(0 AS BIGINT) AS rows_read FROM n
+UNION ALL SELECT 4, offered, 0, (SELECT count(*) FROM ev), offered FROM n WHERE batch = 0""",
+    )
+)
+def inc1_append_report(spark, folder):
+    """Four appends of new revisions read no stored row; the first one again reads its own files only."""
+    path = scratch_path(spark, "filed")
+    revs = adapters.events_log(spark, folder).revisions.select(*REV, "seq")
+    for k in (0, 1, 2, 3, 0):
+        filed.append(revs.where(F.col("seq") % 4 == k), path)
+    return filed.reports(spark, path).select("batch", "offered", "added", "store_rows", "rows_read")
+
+
 _PAYLOAD = "p AS (SELECT repo, id, seq, id || ':' || date || ':' || author || ':' || message AS payload FROM ev)"
 
 

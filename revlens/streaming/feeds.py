@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from revlens.functions import times
 from revlens.model import LINE
-from revlens.operators.store import append_new, delete, exists, folders, is_file, read_if_any
+from revlens.operators import filed
+from revlens.operators.store import delete, exists, folders, is_file
 from revlens.sources.diffs import diffstat_from_diffs
 from revlens.sources.pieces import folded, read_pieces
 
@@ -128,10 +129,13 @@ def compact(spark: SparkSession, out: str, keys: list[str] | None, schema: T.Str
 
 
 def store_new(stream: DataFrame, path: str) -> DataFrame:
-    """Keep a store up to date: each batch adds the revisions the store lacks, whatever their dates."""
+    """Keep a store up to date: each batch adds the revisions the store lacks, whatever their dates.
+
+    A batch opens only the files that may hold its ids; ``filed.reports`` of the folder ``store`` tells how many rows.
+    """
     out = os.path.join(path, "store")
-    _drain(stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, out)), path)
-    return read_if_any(stream.sparkSession, out, stream.schema)
+    _drain(stream.writeStream.foreachBatch(lambda batch, _: filed.append(batch, out)), path)
+    return filed.stored(stream.sparkSession, out, stream.schema)
 
 
 def once_each(stream: DataFrame, path: str) -> DataFrame:

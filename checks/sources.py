@@ -25,6 +25,22 @@ def src1_load_changelog(spark, folder):
     return tables.load_changelog(spark, path).file_changes
 
 
+@check(
+    sql(
+        "tot",
+        """SELECT repo, branch, slot, CAST(count(*) AS BIGINT) AS commits, CAST(sum(files) AS BIGINT) AS changes
+FROM (SELECT *, """ + slot_sql(day("date"), "days") + """ AS slot FROM tot WHERE date >= 915148800 AND date < 917827200) GROUP BY 1, 2, 3""",
+    )
+)
+def flt1_month_of_placed_changes(spark, folder):
+    """January 1999 of a log stored by month and bucket: the changes of other months are not read."""
+    path = scratch_path(spark, "placed")
+    tables.save_changelog(adapters.orders_log(spark, folder), path, buckets=4)
+    log = tables.load_changelog(spark, path)
+    month = sel.revisions(log, start=915148800, stop=917827199)
+    return totals.slot_counts(totals.selected_totals(log, month), "days")
+
+
 @check(
     sql(
         "ev",

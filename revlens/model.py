@@ -50,6 +50,9 @@ class ChangeLog:
     branches: DataFrame | None = None
     tree: DataFrame | None = None
     contents: DataFrame | None = None
+    #: file_changes once more, with the columns month and bucket of its folders, and the number of buckets.
+    placed_changes: DataFrame | None = None
+    buckets: int = 0
 
     def need(self, table: str) -> DataFrame:
         frame = getattr(self, table)

@@ -45,11 +45,37 @@ def revision_totals(revs: DataFrame, changes: DataFrame, some: bool = False) ->
     return with_change_totals(revs, change_totals(of_revisions(changes, revs) if some else changes))
 
 
+def selected_totals(log: ChangeLog, revs: DataFrame, some: bool = True) -> DataFrame:
+    """``revision_totals`` of revisions of a log; of a selection (``some``) only its own changes are read."""
+    return with_change_totals(revs, change_totals(changes_of(log, revs) if some else log.need("file_changes")))
+
+
 def of_revisions(changes: DataFrame, revs: DataFrame) -> DataFrame:
     """Changes of a selection of revisions, whose ids are stored first, so that a short list is broadcast."""
     return changes.join(written(revs.select(*REV).distinct(), "selected"), REV, "left_semi")
 
 
+def change_month(date: Column) -> Column:
+    """The folder a revision's changes lie in: the first second of its month, 0 without a date, -1 without a revision."""
+    return F.coalesce(F.when(date == 0, F.lit(0).cast("long")).otherwise(times.time_slot(date, "months")), F.lit(-1).cast("long"))
+
+
+def change_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*REV), F.lit(buckets)).cast("int")
+
+
+def changes_of(log: ChangeLog, revs: DataFrame) -> DataFrame:
+    """Changes of a selection of revisions (with their date); of a log stored by month and bucket only the folders these lie in are read."""
+    if log.placed_changes is None:
+        return of_revisions(log.need("file_changes"), revs)
+    place = {"month": change_month(F.col("date")), "bucket": change_bucket(log.buckets)}
+    selected = written(revs.select(*REV, "date").distinct().withColumns(place).drop("date"), "selected")
+    folders = selected.agg(F.collect_set("month").alias("month"), F.collect_set("bucket").alias("bucket")).first()  # as many as months and buckets
+    near = F.col("month").isin(folders["month"]) & F.col("bucket").isin(folders["bucket"])
+    found = log.placed_changes.where(near if folders["month"] else F.lit(False)).join(selected.select(*REV).distinct(), REV, "left_semi")
+    return found.select(log.need("file_changes").columns)
+
+
 def with_change_totals(revs: DataFrame, sums: DataFrame) -> DataFrame:
     """Revisions with totals summed beforehand, zeros where there are none."""
     joined = revs.join(sums, REV, "left")
@@ -105,16 +131,16 @@ def split_name(split: str) -> str:
     raise ValueError(f"unknown split {split!r}")
 
 
-def activity_counts(log: ChangeLog, revs: DataFrame, split: str = "none", changes: bool = False) -> DataFrame:
-    """Commits, or changed lines, per (series, date)."""
+def activity_counts(log: ChangeLog, revs: DataFrame, split: str = "none", changes: bool = False, some: bool = False) -> DataFrame:
+    """Commits, or changed lines, per (series, date). ``some``: the revisions are a selection of the log's."""
     split = split_name(split)
     rows = dated(revs)
     lines = F.col("lines_added") + F.col("lines_removed")
     if split in ("files", "directories"):
-        rows = touches(rows, log.need("file_changes"))
+        rows = touches(rows, changes_of(log, rows) if some else log.need("file_changes"))
         series = F.col("path") if split == "files" else directory()
     else:
-        rows = revision_totals(rows, log.need("file_changes")) if changes else rows
+        rows = selected_totals(log, rows, some) if changes else rows
         series = F.lit("all") if split == "none" else F.col("author")
     return (
         rows.withColumn("series", series)

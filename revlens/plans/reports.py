@@ -32,7 +32,7 @@ def _revisions(log: ChangeLog, branch: str | None, datemin: str | None, datemax:
 
 
 def _with_totals(log: ChangeLog, revs: DataFrame, some: bool = False) -> DataFrame:
-    return totals.revision_totals(revs, log.need("file_changes"), some)
+    return totals.selected_totals(log, revs, some)
 
 
 def _tagged(log: ChangeLog, points: DataFrame, tags: str | None) -> DataFrame:
@@ -101,7 +101,7 @@ def activity(
     ``tags``, a pattern, adds a row for each tag: its name as series, its date as x, no point and no y.
     """
     revs = _revisions(log, branch, datemin, datemax)
-    counts = totals.activity_counts(log, revs, split, changes)
+    counts = totals.activity_counts(log, revs, split, changes, bool(branch or datemin or datemax))
     cells = written(series.activity_cells(counts, totals.date_extent(revs)), "activity-cells")
     if totals.split_name(split) != "none":
         active = cells.groupBy(*LINE, "series").agg(F.sum("dates").alias("dates"))
@@ -166,7 +166,12 @@ def volume(
     """
     captions = params.volume_slots(as_of, slots)
     rows = sel.revisions(log, branch)
-    rows = _with_totals(log, rows, bool(branch)) if changes else rows
+    oldest = None if any(first is None for _, first in captions) else min(first for _, first in captions)
+    if changes and oldest is not None:  # of older revisions no change is read
+        older = rows.where(F.col("date") < oldest).withColumns({c: F.lit(0).cast("long") for c in totals.TOTALS})
+        rows = _with_totals(log, rows.where(F.col("date") >= oldest), True).unionByName(older)
+    elif changes:
+        rows = _with_totals(log, rows, bool(branch))
     amount = F.col("lines_added") + F.col("lines_removed") if changes else F.lit(1).cast("long")
     cells = [f"s{i}" for i in range(len(captions))]
     sums = [
@@ -232,7 +237,8 @@ def directories(
 ) -> DataFrame:
     """Net lines so far in each of the largest directories, at every commit."""
     revs = _revisions(log, branch, None, datemax).select(*LINE, "id", "date", "seq")
-    touched = totals.touches(revs, log.need("file_changes")).withColumn("directory", totals.directory())
+    changes = totals.changes_of(log, revs) if branch or datemax else log.need("file_changes")
+    touched = totals.touches(revs, changes).withColumn("directory", totals.directory())
     moves = touched.groupBy(*LINE, "date", "seq", "directory").agg(F.sum(totals.net_lines()).alias("delta"))
     # every commit is a point of the series, also one that touched no file
     points = revs.select(*LINE, "date", "seq", F.lit(None).cast("string").alias("directory"), F.lit(0).cast("long").alias("delta"))
@@ -303,14 +309,15 @@ def diffstat(log: ChangeLog, branch: str | None = None, id: str | None = None, n
     rows. ``numbered`` adds the line's ``ordinal`` in its chart, at the price of a
     sort of all lines.
     """
-    revs = sel.on_branch(log.revisions, log, branch).select(*LINE, *[c for c in REV if c not in LINE], "seq")
+    revs = sel.on_branch(log.revisions, log, branch)
     if id is not None:
         revs = revs.where(F.col("id") == id)
-    changes = log.need("file_changes")
-    if id is not None:  # a selection by id or branch is known before any change is read
-        changes = changes.where(F.col("id") == id)
-    elif branch is not None:
-        changes = totals.of_revisions(changes, revs)
+    # a selection by id or branch is known before any change is read
+    if id is not None and log.placed_changes is None:
+        changes = log.need("file_changes").where(F.col("id") == id)
+    else:
+        changes = log.need("file_changes") if id is None and branch is None else totals.changes_of(log, revs)
+    revs = revs.select(*LINE, *[c for c in REV if c not in LINE], "seq")
     layout = written(revs.join(totals.layout_stats(changes), REV, "left"), "layout")
     room = F.lit(WIDTH - RESERVED) - F.col("max_len")
     cramped = room < MIN_GRAPH

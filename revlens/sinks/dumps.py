@@ -9,7 +9,7 @@ from revlens.functions import text
 from revlens.model import LINE, REV, ChangeLog
 from revlens.operators import select as sel
 from revlens.operators.series import running_total
-from revlens.operators.totals import change_totals, net_lines, of_revisions, with_change_totals
+from revlens.operators.totals import change_totals, changes_of, net_lines, with_change_totals
 from revlens.session import written
 
 # Column codes, their short forms and their titles.
@@ -59,7 +59,7 @@ def select_columns(
         changes, selected = log.need("file_changes"), bool(branch or datemax or (datemin and not counting))
         # one pass for counters and paths; the format has all paths of a revision in one field
         paths = [F.array_sort(F.collect_list("path")).alias("paths")] if "files" in names else []
-        sums = change_totals(of_revisions(changes, rows) if selected else changes, paths)
+        sums = change_totals(changes_of(log, rows) if selected else changes, paths)
         rows = with_change_totals(rows, sums)
     if counting:
         rows = running_total(written(rows, "dump-rows"))
@@ -147,7 +147,8 @@ def revision_dump(log: ChangeLog, branch: str | None = None, id: str | None = No
     ).select(*LINE, "id", "seq", "b.*")
     counters = [("lines_added", " +"), ("lines_removed", " -"), ("bytes_added", " +"), ("bytes_removed", " -")]
     line = F.concat(F.col("path"), *[x for c, sign in counters for x in (F.lit(sign), F.col(c).cast("string"))])
-    files = rows.select(*LINE, *[c for c in REV if c not in LINE], "seq").join(log.need("file_changes"), REV)
+    changes = log.need("file_changes") if id is None and branch is None else changes_of(log, rows)
+    files = rows.select(*LINE, *[c for c in REV if c not in LINE], "seq").join(changes, REV)
     return frame.unionByName(files.select(*LINE, "id", "seq", F.lit(1).alias("section"), "path", line.alias("line")))
 
 

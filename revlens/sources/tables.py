@@ -6,11 +6,12 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revlens.model import LINE, REV, SCHEMAS, ChangeLog
 from revlens.operators.scan import by_position, scan
 from revlens.operators.store import exists
-from revlens.operators.totals import net_lines
+from revlens.operators.totals import change_bucket, change_month, net_lines
 
 
 def load_changelog(spark: SparkSession, folder: str) -> ChangeLog:
@@ -20,16 +21,39 @@ def load_changelog(spark: SparkSession, folder: str) -> ChangeLog:
         path = os.path.join(folder, name)
         if exists(spark, path):
             frames[name] = spark.read.schema(schema).parquet(path)
-    return ChangeLog(**frames)
+    layout = os.path.join(folder, "layout")
+    if not exists(spark, layout):
+        return ChangeLog(**frames)
+    placed = spark.read.schema(T.StructType([*SCHEMAS["file_changes"], *_PLACE])).parquet(os.path.join(folder, "file_changes"))
+    frames["file_changes"] = placed.drop("month", "bucket")
+    return ChangeLog(**frames, placed_changes=placed, buckets=spark.read.schema("buckets int").parquet(layout).first()["buckets"])
 
 
-def save_changelog(log: ChangeLog, folder: str) -> None:
-    """Write a change log as Parquet tables with the declared schemas."""
+_PLACE = [T.StructField("month", T.LongType()), T.StructField("bucket", T.IntegerType())]
+
+
+def save_changelog(log: ChangeLog, folder: str, buckets: int = 0) -> None:
+    """Write a change log as Parquet tables with the declared schemas.
+
+    With ``buckets`` file_changes lies in folders by its revision's month and that many buckets of a hash of its
+    revision, so that a report on a period, or on few revisions, reads these alone. Choose them for some hundred MB
+    of changes in a month's bucket. A folder that holds much is written by several tasks.
+    """
     for name, schema in SCHEMAS.items():
         frame = getattr(log, name)
-        if frame is not None:
-            columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
-            frame.select(*columns).write.mode("errorifexists").parquet(os.path.join(folder, name))
+        if frame is None:
+            continue
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
+        frame, path = frame.select(*columns), os.path.join(folder, name)
+        if buckets and name == "file_changes":
+            dates = log.revisions.groupBy(*REV).agg(F.min("date").alias("date"))
+            dated = frame.join(dates, REV, "left").withColumns({"month": change_month(F.col("date")), "bucket": change_bucket(buckets)})
+            placed = dated.drop("date").hint("rebalance", "month", "bucket")
+            placed.sortWithinPartitions("month", "bucket").write.mode("errorifexists").partitionBy("month", "bucket").parquet(path)
+            spark = frame.sparkSession
+            spark.range(1).select(F.lit(buckets).cast("int").alias("buckets")).write.mode("errorifexists").parquet(os.path.join(folder, "layout"))
+        else:
+            frame.write.mode("errorifexists").parquet(path)
 
 
 def heads(log: ChangeLog) -> DataFrame:

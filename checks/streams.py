@@ -10,7 +10,7 @@ from revlens.model import LINE, REV, STAT_COLUMNS
 from revlens.operators import totals
 from revlens.session import scratch_path, written
 from revlens.sources import adapters
-from revlens.streaming import feeds
+from revlens.streaming import feeds, slots
 
 ENTRIES, check = registry()
 
@@ -61,6 +61,26 @@ def str3_slot_totals(spark, folder):
     return feeds.totals_so_far(rows, scratch_path(spark, "slots"), lambda batch: feeds.slot_totals(batch, churn), [*LINE, "slot"])
 
 
+@check(ENTRIES["str3_slot_totals"].sql)
+def str3_closing_slots(spark, folder):
+    """Closed days with their corrections, and open ones as they stand."""
+    rows = _with_static_totals(spark, folder, _orders(spark, folder))
+    path = scratch_path(spark, "closing")
+    slots.closing_slots(rows, F.col("lines_added") + F.col("lines_removed"), path)
+    return slots.totals_now(spark, path)
+
+
+@check(
+    """SELECT 'events' AS repo, 'main' AS branch, slot, CASE WHEN slot + 3600 <= seen - 7200 THEN 'closed' ELSE 'open' END AS kind, count(*) AS commits
+FROM (SELECT epoch_us(ts) // 3600000000 * 3600 AS slot, max(epoch_us(ts) // 1000000) OVER () AS seen FROM events) GROUP BY 1, 2, 3, 4"""
+)
+def str3_closed_hours(spark, folder):
+    """Hours of events that have closed, two hours behind the newest event, and those still open."""
+    path = scratch_path(spark, "hours")
+    given = slots.closing_slots(_events(spark, folder), F.lit(0), path, width=3600, delay="2 hours")
+    return given.unionByName(slots.still_open(spark, path)).drop("churn")
+
+
 @check(sql("tot", "SELECT repo, branch, author, count(*) AS commits, CAST(sum(lines_added) AS BIGINT) AS loc FROM tot WHERE author <> '' GROUP BY 1, 2, 3"))
 def str4_author_totals(spark, folder):
     rows = _with_static_totals(spark, folder, _orders(spark, folder))

@@ -12,18 +12,17 @@ a piece, whatever the size of a diff, and only summaries are shuffled.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.model import REV, STAT_COLUMNS
 from revlens.operators.scan import by_position, scan
-from revlens.session import written
+from revlens.session import importable, written
 from revlens.sources.diffs import HUNK, SEPARATOR, file_name
 
 #: Bytes kept of a line that crosses a border: more than any file name or hunk header has.
@@ -131,25 +130,16 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _with(columns, rows)
 
 
-def import_here(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package from where it lies. A cluster gets it by --py-files."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    environment = spark.sparkContext.environment
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
-
-
 def read_pieces(pieces: DataFrame) -> DataFrame:
     """What is kept of each piece: its fragments of lines and the summary of its whole lines. Rows of several calls add up."""
-    import_here(pieces.sparkSession)
+    importable(pieces.sparkSession)
     typed = pieces.select("repo", "id", F.col("piece").cast("long"), F.col("diff").cast("binary"))
     return typed.mapInArrow(_inside, "repo string, id string, piece long, breaks boolean, first binary, first_size long, last binary, last_size long, " + _SUMMARY_DDL)
 
 
 def summaries(own: DataFrame) -> DataFrame:
     """(repo, id, pos, summary) of ``read_pieces``' rows: pieces at even positions, the line that crosses into the next piece at the odd one after."""
-    import_here(own.sparkSession)
+    importable(own.sparkSession)
     # a piece's first fragment ends the line that the latest earlier piece with a line break has begun
     starts = {"start": ("max", F.when(F.col("breaks"), F.col("piece")))}
     narrow = own.select(*REV, "piece", "breaks", "first", "first_size")

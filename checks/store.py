@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import crc32_sql, registry, sql
 from revlens.model import REV
-from revlens.operators import filed, intervals, store
+from revlens.operators import filed, intervals, requests, store
 from revlens.session import scratch_path
 from revlens.sources import adapters
 
@@ -144,3 +144,40 @@ def inc6_missing(spark, folder):
 def inc7_served(spark, folder):
     ids = adapters.order_revisions(spark, folder).select("repo", (F.col("seq") + 2).alias("id"))
     return intervals.ids_served(_sparse(spark, folder), ids, _request(spark, folder), ["repo"])
+
+
+def _requests(spark, folder):
+    """A request for each order, round it; every third one is asked of the same repository."""
+    revs = adapters.order_revisions(spark, folder)
+    repo = F.when(F.col("seq") % 3 == 0, "BUILDING").otherwise(F.col("repo"))
+    width = F.col("author").cast("long") % 60
+    return revs.select(repo.alias("repo"), F.col("seq").alias("req"), (F.col("seq") - 20).alias("start"), (F.col("seq") - 20 + width).alias("end"))
+
+
+_REQUESTS = """sv AS (SELECT repo, seq AS start, seq + CAST(author AS BIGINT) % 4 AS "end" FROM rev),
+req AS (SELECT CASE WHEN seq % 3 = 0 THEN 'BUILDING' ELSE repo END AS repo, seq AS req, seq - 20 AS lo, seq - 20 + CAST(author AS BIGINT) % 60 AS hi FROM rev),
+cov AS (SELECT DISTINCT repo, unnest(range(start, "end" + 1)) AS i FROM sv)"""
+
+
+@check(
+    sql(
+        "rev",
+        f"""WITH {_REQUESTS}, n AS (SELECT repo, req, unnest(range(lo, hi + 1)) AS i FROM req),
+g AS (SELECT n.repo, req, i, i - row_number() OVER (PARTITION BY n.repo, req ORDER BY i) AS k FROM n ANTI JOIN cov ON cov.repo = n.repo AND cov.i = n.i)
+SELECT repo, req, min(i) AS start, max(i) AS "end" FROM g GROUP BY repo, req, k""",
+    )
+)
+def inc6_missing_requests(spark, folder):
+    return requests.missing_parts(_sparse(spark, folder), _requests(spark, folder), ["repo"])
+
+
+@check(
+    sql(
+        "rev",
+        f"""WITH {_REQUESTS}, ids AS (SELECT repo, seq + 2 AS id FROM rev)
+SELECT req.repo, req, id FROM req JOIN ids ON ids.repo = req.repo AND id BETWEEN lo AND hi JOIN cov ON cov.repo = ids.repo AND cov.i = id""",
+    )
+)
+def inc7_served_requests(spark, folder):
+    ids = adapters.order_revisions(spark, folder).select("repo", (F.col("seq") + 2).alias("id"))
+    return requests.served_ids(_sparse(spark, folder), ids, _requests(spark, folder), ["repo"])

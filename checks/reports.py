@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from checks.base import ORDERS_AS_OF, day, label_sql, registry, r6, slot_sql, sql
+from checks.functions import ENTRIES as _FUNCTIONS
 from checks.functions import AGE_SQL, BIRTHDAY_SQL, HUMAN_SQL, ORDINAL_SQL, _SUMMARY
 from checks.joins import SMOOTH_BODY
-from checks.sources import ALL_COLUMNS, ENTRIES as _SOURCES, REVDUMP_SQL
+from checks.sources import ALL_COLUMNS, AT_TAGS, ENTRIES as _SOURCES, REVDUMP_SQL
 from checks.totals import LANGUAGES_SQL, PIE_SQL, PUNCH_SQL, _SHARE, _volume_orders_sql
 from checks.windows import AUTHORS_SQL, DIRECTORIES_SQL, LOC_SQL
+from revlens.operators import lifetimes
 from revlens.operators.select import DEFAULT_BRANCH
 from revlens.plans import reports
 from revlens.sources import adapters
@@ -269,3 +271,16 @@ def rpt20_check_cache_old_version(spark, folder):
 @check(sql("tags", "SELECT tags.repo, name, date FROM tags JOIN rev USING (repo, id) WHERE regexp_matches(name, '\\.01$')"))
 def rpt21_tag_marks(spark, folder):
     return reports.tag_marks(_orders(spark, folder), r"\.01$")
+
+
+@check(
+    sql(
+        "fc tags",
+        f"""WITH {AT_TAGS}, pl AS (SELECT DISTINCT path, language FROM ({_FUNCTIONS["fn4_language"].sql}))
+SELECT repo, branch, "at", name, language, count(*) AS n FROM alive JOIN pl USING (path) GROUP BY 1, 2, 3, 4, 5""",
+    )
+)
+def rpt11_filetypes_at_tags(spark, folder):
+    """Files of each language at every tag."""
+    log = _orders(spark, folder)
+    return lifetimes.languages_at(log, lifetimes.tag_positions(log))

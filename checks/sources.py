@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import day, registry, slot_sql, sql
 from revlens.model import LINE
+from revlens.operators import lifetimes
 from revlens.operators import select as sel
 from revlens.operators import totals
 from revlens.plans import reports
@@ -122,6 +123,27 @@ def src7_tree_from_changes(spark, folder):
     return tables.tree_from_changes(adapters.orders_log(spark, folder))
 
 
+#: Paths alive at each tag, one row for each.
+AT_TAGS = """tp AS (SELECT rev.repo, branch, seq AS "at", name FROM tags JOIN rev USING (repo, id)),
+net AS (SELECT rev.repo, branch, path, seq, lines_added - lines_removed AS d FROM fc JOIN rev USING (repo, id)),
+alive AS (SELECT repo, branch, "at", name, path FROM tp JOIN net USING (repo, branch) WHERE seq <= "at" GROUP BY ALL HAVING sum(d) > 0)"""
+
+
+@check(
+    sql(
+        "fc tags",
+        f"""WITH {AT_TAGS} SELECT repo, branch, "at", name, count(*) AS files, CAST(sum(length(path)) AS BIGINT) AS letters, min(path) AS first, max(path) AS last
+FROM alive GROUP BY 1, 2, 3, 4""",
+    )
+)
+def src7_trees_at_tags(spark, folder):
+    """The trees at all tags, summed up."""
+    log = adapters.orders_log(spark, folder)
+    trees = lifetimes.trees_at(log, lifetimes.tag_positions(log))
+    sums = [F.count("*").alias("files"), F.sum(F.length("path")).alias("letters"), F.min("path").alias("first"), F.max("path").alias("last")]
+    return trees.groupBy(*LINE, "at", "name").agg(*sums)
+
+
 @check(
     """WITH req AS (
   SELECT conv_id, turn * 2 AS asked FROM conversations

@@ -4,6 +4,9 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pytest
+
 from revlens.llm import jaccard, simhash
 from tests.llm.conftest import words
 
@@ -88,3 +91,33 @@ def test_odd_rows(odd, empty, spark):
     assert kept.count() == len(set(brute_groups([x for _, x in rows])))
     assert jaccard.near_duplicates(empty).collect() == [] and jaccard.one_of_each(empty).collect() == []
     assert [tuple(r)[::2] for r in jaccard.near_duplicates(spark.createDataFrame([(None, None)], "doc_id long, text string")).collect()] == [(None, None)]
+
+
+def test_large_buckets_are_compared_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 7)
+    texts = edited_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert [c for _, _, c in sorted(jaccard.near_duplicates(df).collect())] == brute_groups(texts)
+
+
+@pytest.mark.parametrize("few", [0, 3, 1 << 11])
+def test_sketches_never_differ_more_than_sets_and_blocks_find_all_close_ones(monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype="u8")) for n in (1, 5, 40, 100, 100, 300, 900) for _ in range(9)]
+    sets += [np.unique(np.r_[x[: len(x) - 4], rng.integers(0, 1 << 62, 4, dtype="u8")]) for x in sets]
+    drawn = [jaccard.sketch(x) for x in sets]
+    key = np.sort(np.arange(len(sets)) % 63 % 3)
+    sets = [sets[i] for i in np.argsort(np.arange(len(sets)) % 63 % 3, kind="stable")]
+    drawn = [jaccard.sketch(x) for x in sets]
+    n, sig = np.array([len(x) for x in sets]), np.arange(len(sets))
+    one, two, far = jaccard.bucket_pairs(key, np.full(len(sets), -1), sig, sig, n, drawn)
+    found = {(min(a, b), max(a, b)) for a, b in zip(one.tolist(), two.tolist(), strict=True)}
+    for a, b in combinations(range(len(sets)), 2):
+        gap = len(np.setxor1d(sets[a], sets[b]))
+        x, y = jaccard._to_words([drawn[a]], len(drawn[b])), jaccard._to_words([drawn[b]], len(drawn[a]))
+        bits = int(np.bitwise_count(x ^ y).sum())
+        assert bits <= gap
+        fits = 5 * n[a] >= 4 * n[b] and 5 * n[b] >= 4 * n[a]
+        assert ((a, b) in found) == (key[a] == key[b] and fits and bits <= (n[a] + n[b]) // 9)
+    assert found

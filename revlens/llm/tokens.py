@@ -13,8 +13,9 @@ from array import array
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Words kept by a worker; when it has so many it starts anew.
+#: Words a worker keeps before it starts anew; the ones it had stay until the next time, and come back when met.
 KEPT = 300_000
+ENDS = ".,;:!?"
 MARK = "\x1f"
 SPACES = re.compile(r"\s\s|\x1f")
 #: Letters whose lower case and composed form are themselves, with what may follow a word.
@@ -38,6 +39,8 @@ LETTERS = byte_letters()
 
 
 def lettered(text: str) -> str:
+    if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+        return LETTERS[32] + text[1:] if text[0] == " " else text
     return text.encode().decode("latin-1").translate(LETTERS)
 
 
@@ -50,7 +53,7 @@ class Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
-        self.model, self.code, self.parts = self.tokenizer.model, code, {}
+        self.model, self.code, self.parts, self.old, self.old_parts = self.tokenizer.model, code, {}, {}, {}
 
     def library(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -59,18 +62,25 @@ class Words(dict):
         """Ids of what the tokenizer's pattern keeps together."""
         found = self.parts.get(text)
         if found is None:
+            found = self.old_parts.get(text)
+            if found is None:
+                found = array(self.code, [t.id for t in self.model.tokenize(lettered(text))]).tobytes()
             if len(self.parts) >= KEPT:
-                self.parts.clear()
-            found = self.parts[text] = array(self.code, [t.id for t in self.model.tokenize(lettered(text))]).tobytes()
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[text] = found
         return found
 
     def made(self, word: str) -> bytes:
         raise NotImplementedError
 
     def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.made(word)
         if len(self) >= KEPT:
+            self.old = dict(self)
             self.clear()
-        found = self[word] = self.made(word)
+        self[word] = found
         return found
 
 
@@ -78,6 +88,9 @@ class LowerWords(Words):
     """Tokenizers that lower-case and drop white space (word_bpe)."""
 
     def made(self, word: str) -> bytes:
+        bare = word.rstrip(ENDS)
+        if bare.isascii() and bare.isalpha():
+            return self.part(bare.lower()) + self.part(word[len(bare) :]) if len(bare) < len(word) else self.part(bare.lower())
         if plain := PLAIN.fullmatch(word):
             return self.part(plain[2].lower()) + (self.part(plain[3]) if plain[3] else b"")
         return self.library(word)
@@ -90,6 +103,9 @@ class SpacedWords(Words):
     """Byte-level tokenizers that keep a space with the word after it (byte_bpe)."""
 
     def made(self, word: str) -> bytes:
+        bare = word.rstrip(ENDS)
+        if bare.isascii() and (bare[1:] if bare[:1] == " " else bare).isalpha():
+            return self.part(bare) + self.part(word[len(bare) :]) if len(bare) < len(word) else self.part(bare)
         if plain := PLAIN.fullmatch(word):
             return self.part(plain[1] + plain[2]) + (self.part(plain[3]) if plain[3] else b"")
         return self.library(word)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm import rows, tokens
@@ -67,8 +67,17 @@ def unframed(data: memoryview) -> Iterator[tuple[int, bytes]]:
         at = end + 4
 
 
+def located(spark: SparkSession, path: str) -> str:
+    """The path with the scheme under which Spark itself would find it: one without a scheme lies in the default file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def store(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+    """The file system of a path with a scheme, and the path in it."""
+    if path.startswith("file:"):
+        return pa.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pa.fs.FileSystem.from_uri(path)
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, parts: int | None = None) -> DataFrame:
@@ -78,7 +87,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
     ``folder`` must be one that all executors share; by default it lies below spark.checkpoint.dir.
     """
     spark = docs.sparkSession
-    folder = folder or scratch_path(spark, "records")
+    folder = located(spark, folder or scratch_path(spark, "records"))
     definition = tokens.vocabulary(spark, tokenizer)
     parts = parts or rows.partitions(spark)
     dealt, _ = rows.in_order(rows.id_text(docs), parts)
@@ -201,4 +210,4 @@ def read_shuffled(files: DataFrame, seed: int = 0, parts: int | None = None) ->
 
 def file_paths(files: DataFrame) -> list[str]:
     """Full names of the files, in order; for small tables of files."""
-    return [os.path.join(r["folder"], r["file"] + ".records") for r in files.orderBy("part").collect()]
+    return [os.path.join(store(r["folder"])[1], r["file"] + ".records") for r in files.orderBy("part").collect()]

@@ -1,5 +1,6 @@
 """op1, op4, op5 against the tokenizers library."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -124,3 +125,14 @@ def test_empty_tables(empty):
     assert packing.pack(packing.pieces(empty, WORD)).collect() == []
     assert bpe.token_counts(empty, BYTE).collect() == []
     assert records.read(records.write(empty, BYTE)).collect() == []
+
+
+def test_record_folders_with_and_without_a_scheme(spark, tmp_path):
+    df = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    want = None
+    for folder in (str(tmp_path / "a"), f"file:{tmp_path}/b", f"file://{tmp_path}/c"):
+        files = records.write(df, BYTE, folder=folder, parts=2)
+        assert files.first()["folder"] == "file:" + str(tmp_path / folder[-1])
+        found = sorted(map(tuple, records.read(files).drop("file").collect()))
+        assert found == (want or found) and len(found) == 2 and all(os.path.exists(x) for x in records.file_paths(files))
+        want = found

@@ -254,17 +254,18 @@ def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, bucke
 def least_of_each(docs: DataFrame, found: DataFrame, bits_of: Callable[[bytes], int]) -> DataFrame:
     """Of each group in ``found`` (doc_id, fingerprint, component_id) the smallest doc_id; ``bits_of`` gives a text's fingerprint."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    gone_id, own_print, kept_id, kept_print = (rows.unused(docs, name) for name in ("_gone", "_fp", "_id", "_print"))
     if ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
         gone = written(found.where("doc_id <> component_id").select("doc_id"), "gone")
-        return docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    schema, at = StructType([*docs.schema, StructField("_fp", LongType())]), docs.columns.index("text")
+        return docs.join(gone.select(F.col("doc_id").alias(gone_id)), F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
+    schema, at = StructType([*docs.schema, StructField(own_print, LongType())]), docs.columns.index("text")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows.slices(batches):
             bits = np.array([bits_of(x) for x in rows.blobs(batch.column(at))], "<u8")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits.view("<i8"))], [*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits.view("<i8"))], [*batch.schema.names, own_print])
 
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print")).distinct()
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id), F.col("fingerprint").alias(kept_print)).distinct()
     own = rows.mapped(docs, marked, schema)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.lower(F.lpad(F.hex("_fp"), 16, "0")) == F.col("_print"))
-    return own.join(written(kept, "kept"), same, "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.lower(F.lpad(F.hex(own_print), 16, "0")) == F.col(kept_print))
+    return own.join(written(kept, "kept"), same, "left_semi").dropDuplicates(["doc_id", own_print]).drop(own_print)

@@ -137,19 +137,17 @@ def earlier(order: np.ndarray, match: np.ndarray) -> np.ndarray:
     return previous | following
 
 
-def resolve(contexts: list[bytes], length: int) -> tuple[list[bytes], list[bytes]]:
-    """For runs in the order of their places: which of their windows occur again, and which earlier, as bits."""
+def resolve(contexts: list[bytes], length: int, first_too: bool) -> list[bytes]:
+    """For runs in the order of their places: which of their windows occur again (``first_too``), or earlier, as bits."""
     data = np.frombuffer(b"".join(contexts), "u1")
     sizes = np.array([len(x) for x in contexts], "int64")
     n = sizes - length + 1
     bases = np.cumsum(sizes) - sizes
     starts = np.repeat(bases - np.cumsum(n) + n, n) + np.arange(n.sum())
     order, match = suffix_runs(data, starts, length)
-    again, before = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    again[order] = np.r_[match, False] | np.r_[False, match]
-    before[order] = earlier(order, match)
-    cuts = np.cumsum(n)[:-1]
-    return [np.packbits(x).tobytes() for x in np.split(again, cuts)], [np.packbits(x).tobytes() for x in np.split(before, cuts)]
+    marks = np.zeros(len(starts), bool)
+    marks[order] = np.r_[match, False] | np.r_[False, match] if first_too else earlier(order, match)
+    return [np.packbits(x).tobytes() for x in np.split(marks, np.cumsum(n)[:-1])]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -196,13 +194,13 @@ def _contexts(length: int):
     return cut
 
 
-def _resolved(length: int):
+def _resolved(length: int, first_too: bool):
     """Runs sorted by (anchor, key, at), whole anchors at a time, some MB together."""
-    kinds = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("again", pa.binary()), ("before", pa.binary())])
+    kinds = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("bits", pa.binary())])
 
     def done(anchor, run, contexts):
-        again, before = resolve(contexts, length)
-        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(run, pa.int64()), pa.array(again, pa.binary()), pa.array(before, pa.binary())], schema=kinds)
+        bits = resolve(contexts, length, first_too)
+        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(run, pa.int64()), pa.array(bits, pa.binary())], schema=kinds)
 
     def suffix_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, run, contexts, size, group = [], [], [], 0, 0
@@ -249,14 +247,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, first_too:
 
     # The bytes of one example of each run whose anchor has several runs.
     wanted = classes.join(mixed.select("anchor"), "anchor").select(F.col("first.key").alias("key"), F.struct("anchor", "run", F.col("first.at").alias("at")).alias("own"))
-    lists = wanted.groupBy("key").agg(F.collect_list("own").alias("own"))  # as long as its text at most
+    lists = wanted.groupBy("key").agg(F.collect_set("own").alias("own"))  # as long as its text at most
     texts = keyed(docs).join(lists, "key").select("text", "key", "own")
     cut = written(rows.mapped(texts, _contexts(length), "anchor long, run long, key long, at long, bytes binary").dropDuplicates(["anchor", "run"]), "contexts")
 
     few = cut.join(mixed.where(F.col("d") <= runs).select("anchor"), "anchor")
     ordered = few.select("anchor", "run", "bytes", "key", "at").repartition(rows.partitions(spark), "anchor").sortWithinPartitions("anchor", "key", "at").select("anchor", "run", "bytes")
-    solved = rows.mapped(ordered, _resolved(length), "anchor long, run long, again binary, before binary")
-    bits = written(solved.select("anchor", "run", F.col("again" if first_too else "before").alias("bits")), "windows")
+    bits = written(rows.mapped(ordered, _resolved(length, first_too), "anchor long, run long, bits binary"), "windows")
     large = mixed.where(F.col("d") > runs)
     plain = written(classes.join(bits, ["anchor", "run"], "left"), "plain")  # a table of its own, so that hot runs of the other side are split
 
@@ -266,7 +263,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, first_too:
     marked = marked.select("key", F.struct("at", "run", F.when(~whole, F.col("bits")).alias("bits")).alias("own"))
     if not large.isEmpty():
         marked = marked.unionAll(_large(cut.join(large.select("anchor"), "anchor"), classes, length, first_too))
-    return marked.groupBy("key").agg(F.collect_list("own").alias("own"))
+    return marked.groupBy("key").agg(F.collect_set("own").alias("own"))  # rows with one id and one text give the same marks
 
 
 def _large(cut: DataFrame, classes: DataFrame, length: int, first_too: bool) -> DataFrame:
@@ -329,9 +326,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run
     Only whole characters inside a passage go; n_chars, where it is a column, follows. A document may end up empty.
     """
     names = docs.columns
-    marks = repeats(docs, length, gram, False, runs).select(F.col("key").alias("_key"), F.col("own").alias("_own"))
+    own_key, own_marks = rows.unused(docs, "_key"), rows.unused(docs, "_own")
+    marks = repeats(docs, length, gram, False, runs).select(F.col("key").alias(own_key), F.col("own").alias(own_marks))
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
-    joined = docs.join(marks, key == F.col("_key"), "left").drop("_key")
+    joined = docs.join(marks, key == F.col(own_key), "left").drop(own_key)
     schema, at, n_chars = docs.schema, names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

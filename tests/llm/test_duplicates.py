@@ -6,9 +6,12 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from revlens.llm import merkle, simhash, suffixes
+from revlens.llm import jaccard, merkle, simhash, suffixes
+from tests.llm.conftest import words
 
 
 def brute_print(text, words=3):
@@ -124,7 +127,7 @@ def test_anchors_and_suffix_order(monkeypatch):
         assert places == sorted(x for own in seen.values() for x in own)
         runs.sort()
         if runs:
-            again, before = suffixes.resolve([texts[k][first : first + n + length - 1] for k, first, n in runs], length)
+            again, before = (suffixes.resolve([texts[k][first : first + n + length - 1] for k, first, n in runs], length, x) for x in (True, False))
             for (k, first, n), a, b in zip(runs, again, before, strict=True):
                 for i in range(n):
                     own = seen[texts[k][first + i : first + i + length]]
@@ -193,3 +196,25 @@ def test_empty_tables(empty, spark, rows_of):
     one = spark.createDataFrame([(None, None)], "doc_id long, text string")
     assert rows_of(simhash.near_duplicates(one)) == [(None, "0" * 16, None)]
     assert merkle.fingerprints(one).first()["near_next"] == 1
+
+
+def test_many_rows_of_one_id_and_text(spark):
+    """Their marks are gathered once, not once for each."""
+    text = words(random.Random(4), 250)[:1500]
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionAll(spark.range(300).select(F.lit(None).cast("long"), F.lit(text)))
+    found = suffixes.repeated_bytes(df).groupBy("n_removed", "n_spans").count().collect()
+    assert [tuple(r) for r in found] == [(len(text.encode()), 1, 3300)]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_clashing_names(spark, repeated):
+    rng = random.Random(5)
+    passage = words(rng, 80)
+    texts = [passage + " " + words(rng, 20), words(rng, 20) + " " + passage, words(rng, 30)]
+    rows = [(i, x) for i, x in enumerate(texts)] + [(1 if repeated else 9, texts[1])]
+    names = "_gone _fp _id _print _key _own key own root sig h".split()
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", *[F.lit("x").alias(c) for c in names], "text")
+    plain = df.select("doc_id", "text")
+    for made in (simhash.one_of_each, jaccard.one_of_each, suffixes.without_repeats):
+        assert made(df).columns == df.columns
+        assert sorted(map(tuple, made(df).select("doc_id", "text").collect())) == sorted(map(tuple, made(plain).collect()))

@@ -118,10 +118,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, seen, part = tokens.words(tokens.LowerWords, definition, "I"), Counter(), TaskContext.get().partitionId()
-        for batch in rows.slices(batches):
+        for batch in (x for whole in batches for x in tokens.portions(whole, 1)):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), rows.texts(batch.column(1)), strict=True):
-                ids = found.text_ids(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), found.ids(batch.column(1)), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     length = len(own) // 4

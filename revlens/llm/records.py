@@ -89,6 +89,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
     spark = docs.sparkSession
     folder = located(spark, folder or scratch_path(spark, "records"))
     definition = tokens.vocabulary(spark, tokenizer)
+    code = "H" if _small(definition.value) else "I"
     parts = parts or rows.partitions(spark)
     dealt, _ = rows.in_order(rows.id_text(docs), parts)
 
@@ -97,17 +98,17 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
         place.create_dir(path, recursive=True)
         context, file, found, end, width = TaskContext.get(), None, None, b"", 4
         first = docs_n = ids_n = at = 0
-        for batch in rows.slices(batches):
+        for batch in (x for whole in batches for x in tokens.portions(whole, 1)):
             if file is None:
-                found = tokens.words(tokens.SpacedWords, definition, "H" if _small(definition.value) else "I")
+                found = tokens.words(tokens.SpacedWords, definition, code)
                 width = 2 if found.code == "H" else 4
                 end = np.array([end_id], f"<u{width}").tobytes()
                 name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
                 file, index = place.open_output_stream(f"{path}/{name}.records"), place.open_output_stream(f"{path}/{name}.index")
                 part, first = batch.column(2)[0].as_py(), batch.column(0)[0].as_py()
             out, places = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), rows.texts(batch.column(1)), strict=True):
-                ids = found.text_ids(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), found.ids(batch.column(1)), strict=True):
+                ids += end
                 frame = framed(payload(doc_id, ids, width))
                 out.append(frame)
                 places += (at, len(frame))

@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, each distinct word encoded once for each worker.
 
 White space never joins a token with what lies before it, so a text falls into words that are encoded
-alone; a word that was seen before is a dictionary look-up.
+alone; a word that was seen before is a dictionary look-up. Arrow parts the texts of a batch into words and
+numbers the different ones, so that each is looked up once for a batch, and strings their ids together.
 """
 
 from __future__ import annotations
@@ -9,7 +10,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
@@ -73,6 +78,38 @@ class Words(dict):
     def made(self, word: str) -> bytes:
         raise NotImplementedError
 
+    def text_ids(self, text: str) -> bytes:
+        raise NotImplementedError
+
+    def parted(self, texts: pa.Array) -> pa.ListArray:
+        """Texts as lists of words."""
+        raise NotImplementedError
+
+    def alone(self, texts: list[str]) -> list[int]:
+        """Places of the texts that are not parted into words."""
+        return []
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """``text_ids`` of each text, empty for a null."""
+        whole = pc.fill_null(texts, "")
+        alone = self.alone(whole.to_pylist())
+        if alone:
+            mask = np.ones(len(whole), bool)
+            mask[alone] = False
+            own = {i: self.text_ids(whole[i].as_py()) for i in alone}
+            rest = iter(self._strung(whole.filter(pa.array(mask))))
+            return [own[i] if i in own else next(rest) for i in range(len(whole))]
+        return self._strung(whole)
+
+    def _strung(self, texts: pa.Array) -> list[bytes]:
+        parts = self.parted(texts)
+        words = parts.flatten().dictionary_encode()
+        ids = pa.array([self[w] for w in words.dictionary.to_pylist()], pa.large_binary()).take(words.indices)
+        _, offsets, data = ids.buffers()
+        places = np.frombuffer(offsets, "<i8")[parts.offsets.to_numpy() - parts.offsets[0].as_py()] if len(ids) else np.zeros(len(texts) + 1, int)
+        data = data.to_pybytes() if data is not None else b""
+        return [data[a:b] for a, b in pairwise(places.tolist())]
+
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
@@ -98,6 +135,9 @@ class LowerWords(Words):
     def text_ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def parted(self, texts: pa.Array) -> pa.ListArray:
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
 
 class SpacedWords(Words):
     """Byte-level tokenizers that keep a space with the word after it (byte_bpe)."""
@@ -115,12 +155,29 @@ class SpacedWords(Words):
             return self.library(text)
         return b"".join(map(self.__getitem__, spaced(text)))
 
+    def alone(self, texts: list[str]) -> list[int]:
+        return [i for i, text in enumerate(texts) if SPACES.search(text)]
+
+    def parted(self, texts: pa.Array) -> pa.ListArray:
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", f"{MARK}\n{MARK}")
+        return pc.split_pattern(marked, MARK)
+
 
 def spaced(text: str) -> list[str]:
     """Words with the space before them, and line breaks alone, of a text without runs of white space."""
     return text.replace(" ", MARK + " ").replace("\n", f"{MARK}\n{MARK}").split(MARK)
 
 
+def portions(batch: pa.RecordBatch, column: int, size: int = 1 << 23):
+    """Slices of a batch with some MB of text each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    part = np.cumsum(sizes, dtype="i8") // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in pairwise(cuts):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 _KEPT: dict[tuple, Words] = {}
 
 

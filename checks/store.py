@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import crc32_sql, registry, sql
 from revlens.model import REV
-from revlens.operators import filed, intervals, requests, store
+from revlens.operators import filed, intervals, manifest, requests, store
 from revlens.session import scratch_path
 from revlens.sources import adapters
 
@@ -181,3 +181,34 @@ SELECT req.repo, req, id FROM req JOIN ids ON ids.repo = req.repo AND id BETWEEN
 def inc7_served_requests(spark, folder):
     ids = adapters.order_revisions(spark, folder).select("repo", (F.col("seq") + 2).alias("id"))
     return requests.served_ids(_sparse(spark, folder), ids, _requests(spark, folder), ["repo"])
+
+
+def _sealed_in_four(spark, folder, path, numbers):
+    own = adapters.event_payloads(spark, folder)
+    for k in numbers:
+        own.where(F.col("seq") % 4 == k).write.mode("append").parquet(path)
+    return own.schema
+
+
+@check(
+    sql(
+        "ev",
+        """SELECT CASE WHEN seq % 4 = 3 THEN 1 ELSE 0 END AS checked, count(*) AS n, count(*) FILTER (seq % 97 = 0) AS bad FROM ev GROUP BY 1""",
+    )
+)
+def inc2_changed_files(spark, folder):
+    """Three appends, an audit, a fourth append, an audit: the second one reads the files of the last append alone."""
+    path = scratch_path(spark, "audited")
+    schema = _sealed_in_four(spark, folder, path, (0, 1, 2))
+    manifest.audit_files(spark, path, schema)
+    _sealed_in_four(spark, folder, path, (3,))
+    found = manifest.audit_files(spark, path, schema)
+    return found.groupBy(F.col("checked").cast("int").alias("checked")).agg(F.sum("rows").alias("n"), F.sum("bad").alias("bad"))
+
+
+@check(ENTRIES["inc3_repair"].sql)
+def inc3_repair_files(spark, folder):
+    path = scratch_path(spark, "mended")
+    schema = _sealed_in_four(spark, folder, path, (0, 1, 2, 3))
+    manifest.audit_files(spark, path, schema)
+    return manifest.repair_files(spark, path, schema).drop("crc")

@@ -12,7 +12,8 @@ from revlens.operators import totals
 from revlens.plans import reports
 from revlens.session import scratch_path
 from revlens.sinks import dumps
-from revlens.sources import adapters, diffs, headers, pieces, tables
+from revlens.sources import adapters, diffs, headers, pieces, rawlogs, tables
+from revlens.streaming import feeds
 
 ENTRIES, check = registry()
 
@@ -76,6 +77,30 @@ def src4_svn_props(spark, folder):
     return headers.parse_svn_props(adapters.event_svn_props(spark, folder))
 
 
+@check(ENTRIES["src2_git_headers"].sql)
+def src2_raw_log_files(spark, folder):
+    """The headers as files of many records."""
+    path = scratch_path(spark, "git-log")
+    adapters.event_git_headers(spark, folder).select("header").write.option("lineSep", rawlogs.END).text(path)
+    return rawlogs.git_log(spark, path, "events")
+
+
+@check(ENTRIES["src3_hg_log"].sql)
+def src3_raw_log_files(spark, folder):
+    path = scratch_path(spark, "hg-log")
+    own = adapters.event_hg_headers(spark, folder)
+    own.select(F.concat("id", F.lit("\n"), "header").alias("value")).write.option("lineSep", rawlogs.END).text(path)
+    return rawlogs.hg_log(spark, path, "events")
+
+
+@check(ENTRIES["src2_git_headers"].sql)
+def str1_raw_log_feed(spark, folder):
+    """The same files as a stream."""
+    path = scratch_path(spark, "git-feed")
+    adapters.event_git_headers(spark, folder).select("header").write.option("lineSep", rawlogs.END).text(path)
+    return feeds.append_to(rawlogs.git_log(spark, path, "events", stream=True), scratch_path(spark, "git-rows"))
+
+
 @check(
     f"""SELECT 'documents' AS repo, CAST(doc_id AS VARCHAR) AS id,
   'docs/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path,

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlens.session import written
+
 
 def map_revisions(revs: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply ``fn`` to every selected revision, one Arrow batch at a time."""
@@ -66,26 +67,28 @@ def fold_in_order(
 
     ``fold`` turns a run of neighbouring rows of a group, in order, into one row of ``schema``, which has the
     keys; ``merge`` turns the rows of neighbouring runs, in order, into one. Rows are dealt by ranges of keys and
-    order, so a large group is folded by many tasks; in the end one row for each task and group is merged.
+    order, so a large group is folded by many tasks; in the end one row for each range and group is merged. The
+    ranges are stored with their rows: a retry of a task sees the same ones.
     """
-    ranged = revs.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    ranged = written(revs.repartitionByRange(*keys, order).withColumn("__part", F.spark_partition_id()), "runs")
+    dealt = ranged.repartition("__part").sortWithinPartitions("__part", *keys, order)
 
     def fold_runs(batches):
-        part, held, last = TaskContext.get().partitionId(), None, None
+        held, last = None, None
         for batch in batches:
-            for key, run in batch.groupby(keys, sort=False, dropna=False):
-                row = fold(run)
+            for key, run in batch.groupby(["__part", *keys], sort=False, dropna=False):
+                row = fold(run.drop(columns="__part")).assign(part=key[0])
                 if held is not None and repr(key) == last:
-                    held = merge(pd.concat([held, row], ignore_index=True))
+                    held = merge(pd.concat([held, row], ignore_index=True).drop(columns="part")).assign(part=key[0])
                 else:
                     if held is not None:
-                        yield held.assign(part=part)
+                        yield held
                     held, last = row, repr(key)
         if held is not None:
-            yield held.assign(part=part)
+            yield held
 
     def merge_runs(pdf: pd.DataFrame) -> pd.DataFrame:
         return merge(pdf.sort_values("part").drop(columns="part").reset_index(drop=True))
 
-    partial = ranged.mapInPandas(fold_runs, f"{schema}, part int")
+    partial = dealt.mapInPandas(fold_runs, f"{schema}, part int")
     return partial.groupBy(*keys).applyInPandas(merge_runs, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions import times
@@ -49,15 +49,25 @@ def member_columns(entity: str, value: Column, n: int) -> list[Column]:
     ]
 
 
-def top_series(points: DataFrame, n: int, entity: str, metric: str) -> DataFrame:
-    """Dense series of the top entities: every point of the line gets one row per entity.
+#: Points of a range of the running totals: a window over one holds about as many, whatever the number of points.
+RANGE = 1 << 22
+
+
+def ranges_for(spark: SparkSession, points: int) -> int:
+    """Ranges of the sort order for so many points, none much above RANGE of them; their borders are quantiles of a sample."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-points // RANGE))
+
+
+def top_series(points: DataFrame, n: int, entity: str, metric: str, size: int | None = None) -> DataFrame:
+    """Dense series of the top entities: every point of the line gets one row per entity. ``size``: how many points there are, if known.
 
     ``points`` has one row per commit with ``names`` and the columns of
     ``member_columns``. The running totals are taken over commit rows; the
     expansion to one row per entity comes last and shuffles nothing.
     """
     cells = [f"__v{i}" for i in range(n)]
-    totals = range_scan(points, LINE, ["date", "seq"], {c: ("sum", F.col(c)) for c in cells})
+    ranges = None if size is None else ranges_for(points.sparkSession, size)
+    totals = range_scan(points, LINE, ["date", "seq"], {c: ("sum", F.col(c)) for c in cells}, ranges=ranges)
     pairs = F.arrays_zip(F.col("names").alias("name"), F.slice(F.array(*cells), F.lit(1), F.size("names")).alias("value"))
     rows = totals.select(*LINE, "date", "seq", F.explode(pairs).alias("cell"))
     return rows.select(*LINE, "date", "seq", F.col("cell.name").alias(entity), F.col("cell.value").alias(metric))

@@ -65,7 +65,7 @@ def authors(
     names = series.top_names(totals.lines_by_author(commits), "author", "loc", n)
     points = series.with_names(commits, names)
     points = points.select(*LINE, "date", "seq", "names", *series.member_columns("author", F.col("lines_added"), n))
-    return _tagged(log, sel.clip_after(series.top_series(points, n, "author", "loc"), params.parse_date(datemin)), tags)
+    return _tagged(log, sel.clip_after(series.top_series(points, n, "author", "loc", commits.count()), params.parse_date(datemin)), tags)
 
 
 def authors_pie(
@@ -252,7 +252,7 @@ def directories(
     per_commit = per_commit.groupBy(*LINE, "date", "seq", "names").agg(
         *[F.sum(f"__v{i}").alias(f"__v{i}") for i in range(n)]
     )
-    grid = series.top_series(per_commit, n, "directory", "loc")
+    grid = series.top_series(per_commit, n, "directory", "loc", moves.where("directory is null").count())
     shown = grid.withColumn("directory", paths.display_directory(F.col("directory")))
     return _tagged(log, sel.clip_after(shown, params.parse_date(datemin)), tags)
 

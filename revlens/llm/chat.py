@@ -32,9 +32,10 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
 def ordered(calls: DataFrame) -> DataFrame:
     """Calls with ``level``: by (level, seq) every call comes after those it needs. Null: it is part of a circle, or behind one.
 
-    Places in the chat already are such an order unless a call needs a later one. Only from those on, levels are
-    raised along the needs, round by round, over the calls that the last round has raised; rounds are stored.
-    Needs that no call of the chat answers to are left out. Calls that share an id stand together as one.
+    Places in the chat already are such an order unless a call needs a later one, so the level is the greatest number
+    of such backward needs on a way along the needs. Where each call of a chat has one need at most, the ways are
+    doubled in length until they end; in other chats, levels are raised round by round. Rounds are stored. Needs that
+    no call of the chat answers to are left out. Calls that share an id stand together as one.
     """
     ids = calls.where(F.col("call_id").isNotNull()).groupBy(*KEY).agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
     needs = calls.select(*KEY, F.explode("needs").alias("need")).distinct()
@@ -45,6 +46,34 @@ def ordered(calls: DataFrame) -> DataFrame:
     if bound.isEmpty():
         return calls.withColumn("level", F.lit(0))
     edges = written(edges.join(bound, "conv_id"), "needs")
+    several = written(edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv_id").distinct(), "several")
+    levels = _by_doubling(edges.join(several, "conv_id", "left_anti"))
+    if not several.isEmpty():
+        levels = levels.unionByName(_by_rounds(edges.join(several, "conv_id", "left_semi"), bound))
+    placed = calls.join(levels.withColumn("seen", F.lit(True)), KEY, "left")
+    return placed.withColumn("level", F.when(F.col("seen"), F.col("level")).otherwise(F.lit(0))).drop("seen")
+
+
+def _by_doubling(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of calls with one need each; after k rounds a way has 2 ** k needs, or has ended."""
+    ways = written(edges.select(*KEY, F.col("need").alias("to"), F.col("back").alias("level")), "ways")
+    longest = ways.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    ended, reach = None, 1
+    while True:
+        ahead = ways if ended is None else ways.unionByName(ended)
+        ahead = ahead.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("level").alias("more"))
+        on = ways.join(ahead, ["conv_id", "to"], "left").select(*KEY, F.col("next").alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).cast("int").alias("level"))
+        on = written(on, "ways")
+        done = on.where("to is null")
+        ended, ways = done if ended is None else written(ended.unionByName(done), "ended"), on.where("to is not null")
+        reach *= 2
+        if reach > 2 * longest or ways.isEmpty():
+            # a way that is longer than its chat goes round a circle
+            return ended.select(*KEY, "level").unionByName(ways.select(*KEY, F.lit(None).cast("int").alias("level")))
+
+
+def _by_rounds(edges: DataFrame, bound: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of calls that are not on level 0; each round is over the calls that the last one has raised."""
     levels = None
     raised = edges.where("back = 1").select(*KEY, F.lit(1).alias("level"), "most").distinct()
     while True:
@@ -58,7 +87,7 @@ def ordered(calls: DataFrame) -> DataFrame:
         reached = going.join(edges, ["conv_id", "need"]).groupBy(*KEY).agg(F.max(F.col("level") + F.col("back")).alias("level"), F.max("most").alias("most"))
         known = levels.withColumnRenamed("level", "had")
         raised = reached.join(known, KEY, "left").where("had is null or level > had").select(*KEY, "level", "most")
-    found = levels.join(bound, "conv_id").select(*KEY, F.when(F.col("level") <= F.col("most"), F.col("level")).alias("found"), F.lit(True).alias("seen"))
+    found = levels.join(bound, "conv_id").select(*KEY, F.when(F.col("level") <= F.col("most"), F.col("level")).alias("found"))
     circular = written(found.where("found is null").select(*KEY), "circular")
     behind = circular
     while not circular.isEmpty():  # whatever builds on a circle has no place either
@@ -67,8 +96,8 @@ def ordered(calls: DataFrame) -> DataFrame:
         if behind.isEmpty():
             break
         circular = written(circular.unionByName(behind), "circular")
-    placed = calls.join(found.join(circular, KEY, "left_anti"), KEY, "left").join(circular.withColumn("lost", F.lit(True)), KEY, "left")
-    return placed.withColumn("level", F.when(F.col("lost").isNull(), F.coalesce("found", F.lit(0)))).drop("found", "seen", "lost")
+    placed = found.join(circular, KEY, "left_anti").select(*KEY, F.col("found").alias("level"))
+    return placed.unionByName(circular.withColumn("level", F.lit(None).cast("int")))
 
 
 def json_kind(value: Column) -> Column:
@@ -132,22 +161,36 @@ def _quoted(text: Column) -> Column:
 
 #: Turns as tool calls: what a user says asks the assistant to reply, a system turn configures it.
 TOOLS = [("reply", "prompt", "string", True), ("reply", "turn", "integer", True), ("configure", "prompt", "string", True), ("configure", "turn", "integer", False)]
+#: Of KINDS remainders of crc32 of 'conv_id:turn': calls that need nothing, the call two or four turns later, or
+#: themselves (others: the one two turns before); arguments without a prompt, with a turn as text, with one field more;
+#: calls of a tool that there is not.
+KINDS = 12
+NO_NEED, NEEDS_NEXT, NEEDS_FAR, NEEDS_SELF = (0, 1), 7, 8, 9
+NO_PROMPT, TEXT_TURN, EXTRA, NO_TOOL = 3, 4, 5, 6
 
 
 def turn_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results from a table of turns (conv_id, turn, role, text).
 
-    A user's or system's turn t is call c<t> and needs the call two turns before; an assistant's turn answers the
-    call one turn before. Other roles are left out; a null text stays a null argument.
+    A user's or system's turn t is call c<t>; an assistant's turn answers the call one turn before. Other roles are
+    left out; a null text stays a null argument. What a call needs, and how its arguments are wrong, follows from a
+    checksum of its place, so that needs of later calls, circles, missing fields and wrong kinds all occur.
     """
     turn = F.col("turn").cast("long")
-    asked = turns.where(F.col("role").isin("user", "system"))
-    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), turn.alias("turn")), {"ignoreNullFields": "false"})
-    needs = F.when(turn >= 2, F.array(F.concat(F.lit("c"), (turn - 2).cast("string")))).otherwise(F.array().cast("array<string>"))
+    kind = F.pmod(F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), F.lit(KINDS))
+    asked = turns.where(F.col("role").isin("user", "system")).select("conv_id", turn.alias("turn"), "role", "text", kind.alias("kind"))
+    turn, kind = F.col("turn"), F.col("kind")
+    shapes = {NO_PROMPT: [turn], TEXT_TURN: [F.col("text").alias("prompt"), turn.cast("string").alias("turn")], EXTRA: [F.col("text").alias("prompt"), turn, F.lit(1).alias("note")]}
+    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), turn), {"ignoreNullFields": "false"})
+    for k, fields in shapes.items():
+        arguments = F.when(kind == k, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})).otherwise(arguments)
+    other = F.when(kind == NEEDS_NEXT, turn + 2).when(kind == NEEDS_FAR, turn + 4).when(kind == NEEDS_SELF, turn).otherwise(turn - 2)
+    needs = F.when(kind.isin(*NO_NEED), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("c"), other.cast("string"))))
+    name = F.when(kind == NO_TOOL, "search").when(F.col("role") == "user", "reply").otherwise("configure")
     calls = asked.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.concat(F.lit("c"), turn.cast("string")).alias("call_id"), turn.alias("seq"),
-        F.when(F.col("role") == "user", "reply").otherwise("configure").alias("name"), arguments.alias("arguments"), needs.alias("needs"),
+        name.alias("name"), arguments.alias("arguments"), needs.alias("needs"),
     )
-    answers = turns.where(F.col("role") == "assistant")
+    answers, turn = turns.where(F.col("role") == "assistant"), F.col("turn").cast("long")
     results = answers.select(F.col("conv_id").cast("long").alias("conv_id"), F.concat(F.lit("c"), (turn - 1).cast("string")).alias("call_id"), turn.alias("seq"), F.col("text").alias("content"))
     return calls, results

@@ -115,18 +115,30 @@ def op7_quality_additive(spark, folder):
     return gam.quality(docs, gam.fit(docs, table(spark, folder, "labels")))
 
 
-CHAT_SQL = """
-WITH calls AS (
-  SELECT conv_id, 'c' || turn AS call_id, turn AS seq, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, text
-  FROM conversations WHERE role IN ('user', 'system')),
+CHAT_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {repair_sql.CRC_TABLE} AS t),
+asked AS (SELECT conv_id, turn, role, text, {repair_sql.CRC} % 12 AS kind FROM conversations, crc WHERE role IN ('user', 'system')),
+calls AS (
+  SELECT conv_id, 'c' || turn AS call_id, turn AS seq, CASE WHEN kind = 6 THEN 'search' WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name, text, kind,
+    CASE WHEN kind >= 2 THEN 'c' || (turn + CASE kind WHEN 7 THEN 2 WHEN 8 THEN 4 WHEN 9 THEN 0 ELSE -2 END) END AS need,
+    CASE kind WHEN 3 THEN json_object('turn', turn) WHEN 4 THEN json_object('prompt', text, 'turn', CAST(turn AS VARCHAR))
+      WHEN 5 THEN json_object('note', 1, 'prompt', text, 'turn', turn) ELSE json_object('prompt', text, 'turn', turn) END AS arguments
+  FROM asked),
+edges AS (SELECT c.conv_id, c.call_id, c.need, CASE WHEN n.seq >= c.seq THEN 1 ELSE 0 END AS back FROM calls c JOIN calls n ON n.conv_id = c.conv_id AND n.call_id = c.need),
+most AS (SELECT conv_id, sum(back) AS most FROM edges GROUP BY 1),
+ways AS (
+  SELECT conv_id, call_id, CAST(0 AS INTEGER) AS level FROM calls
+  UNION SELECT e.conv_id, e.call_id, w.level + e.back FROM ways w JOIN edges e ON e.conv_id = w.conv_id AND e.need = w.call_id
+    JOIN most m ON m.conv_id = e.conv_id WHERE w.level <= m.most),
+levels AS (SELECT w.conv_id, call_id, CASE WHEN max(level) <= coalesce(max(most), 0) THEN max(level) END AS level FROM ways w LEFT JOIN most m ON m.conv_id = w.conv_id GROUP BY 1, 2),
 results AS (
   SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS seq, min(coalesce(text, '')) AS result, count(*) AS n
   FROM conversations WHERE role = 'assistant' GROUP BY 1, 2)
-SELECT c.conv_id, c.call_id, c.seq, 0 AS level, c.name, CASE WHEN n IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  coalesce(n, 0) AS n_results, CASE WHEN text IS NULL THEN 'kind of prompt' ELSE '' END AS problems,
-  CAST(json_object('arguments', json_object('prompt', text, 'turn', c.seq), 'call_id', c.call_id, 'conv_id', c.conv_id,
-    'name', c.name, 'result', result) AS VARCHAR) AS json
-FROM calls c LEFT JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+SELECT c.conv_id, c.call_id, c.seq, level, c.name, CASE WHEN n IS NULL THEN 'unanswered' ELSE 'linked' END AS status, coalesce(n, 0) AS n_results,
+  CASE WHEN kind = 6 THEN 'unknown tool' ELSE concat_ws('; ', CASE WHEN kind = 3 THEN 'missing prompt' WHEN text IS NULL THEN 'kind of prompt' END,
+    CASE WHEN kind = 4 THEN 'kind of turn' END, CASE WHEN kind = 5 THEN 'unknown note' END) END AS problems,
+  CAST(json_object('arguments', arguments, 'call_id', c.call_id, 'conv_id', c.conv_id, 'name', c.name, 'result', result) AS VARCHAR) AS json
+FROM calls c JOIN levels l ON l.conv_id = c.conv_id AND l.call_id = c.call_id LEFT JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
 UNION ALL
 SELECT r.conv_id, r.call_id, r.seq, NULL, NULL, 'orphan', n, '',
   CAST(json_object('arguments', NULL, 'call_id', r.call_id, 'conv_id', r.conv_id, 'name', NULL, 'result', result) AS VARCHAR)

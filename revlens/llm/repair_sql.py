@@ -1,6 +1,7 @@
 """SQL twin of the conversation repair: states of the role pattern row by row, in a recursive query."""
 
-_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' ||
+CRC_TABLE = "list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))"
+CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' ||
     coalesce(CAST(turn AS VARCHAR), ' ')), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295)"""
 
 
@@ -41,8 +42,8 @@ _STEP = ", ".join(
 _USER = _least("t2", *[_inserted(s, "user") for s in ("t0", "t1", "t3")])
 
 SQL = f"""
-WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS t),
-raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS kind FROM conversations, crc),
+WITH RECURSIVE crc AS (SELECT {CRC_TABLE} AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC} % 20 AS kind FROM conversations, crc),
 dam AS (
   SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
     CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text

@@ -185,13 +185,37 @@ def test_op3_order(spark):
     assert [found[50, x]["level"] for x in "abcd"] == [None, None, None, 0] and found[51, "s"]["level"] is None
 
 
+def test_op3_long_chains(spark, monkeypatch):
+    """One need each: a chain of 300 backward needs takes some ten rounds, not 300; circles and what is behind them have no level."""
+    calls = [(1, f"c{i}", i, "add", "{}", [f"c{i + 1}"]) for i in range(300)] + [(1, "c300", 300, "add", "{}", [])]
+    calls += [(2, f"c{i}", i, "add", "{}", [f"c{(i + 1) % 40}"]) for i in range(40)] + [(2, "x", 50, "add", "{}", ["c3"]), (2, "y", 51, "add", "{}", ["x"]), (2, "z", 52, "add", "{}", ["gone"])]
+    calls += [(3, "a", 0, "add", "{}", ["c"]), (3, "b", 1, "add", "{}", ["a"]), (3, "c", 2, "add", "{}", [])]
+    stored = []
+    monkeypatch.setattr(chat, "written", lambda df, label, plain=chat.written: (stored.append(label), plain(df, label))[1])
+    found = {k[:2]: r["level"] for k, r in chat_rows(spark, calls).items()}
+    assert [found[1, f"c{i}"] for i in range(301)] == [300 - i for i in range(301)]
+    assert {found[2, f"c{i}"] for i in range(40)} == {None} and (found[2, "x"], found[2, "y"], found[2, "z"]) == (None, None, 0)
+    assert [found[3, x] for x in "abc"] == [1, 1, 0] and len(stored) < 30
+
+
 def test_op3_turns(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "r"), (1, 1, "assistant", None), (2, 0, "system", None), (3, 5, "assistant", "x"), (None, 0, "user", "n"), (4, 0, "other", "")], "conv_id long, turn long, role string, text string")
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "r"), (1, 1, "assistant", None), (2, 0, "system", None), (3, 5, "assistant", "x"), (None, 0, "user", "n"), (4, 0, "other", "")]
+    rows += [(9, t, "user", f"t{t}") for t in range(0, 400, 2)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as level", "1 as name", "2 as seq", "3 as needs")
     tools = spark.createDataFrame(chat.TOOLS, "name string, field string, kind string, required boolean")
     found = {(r["conv_id"], r["call_id"]): r for r in chat.formatted(*chat.turn_calls(turns), tools).collect()}
-    assert {k: (r["status"], r["n_results"], r["problems"]) for k, r in found.items()} == {
-        (1, "c0"): ("linked", 2, ""), (2, "c0"): ("unanswered", 0, "kind of prompt"), (3, "c4"): ("orphan", 1, ""), (None, "c0"): ("unanswered", 0, ""),
-    }
+    assert {k: (r["status"], r["n_results"]) for k, r in found.items() if k[0] != 9} == {(1, "c0"): ("linked", 2), (2, "c0"): ("unanswered", 0), (3, "c4"): ("orphan", 1), (None, "c0"): ("unanswered", 0)}
+    kind = {t: zlib.crc32(f"9:{t}".encode()) % 12 for t in range(0, 400, 2)}
+    problems = {3: "missing prompt", 4: "kind of turn", 5: "unknown note", 6: "unknown tool"}
+    assert {t: found[9, f"c{t}"]["problems"] for t in kind} == {t: problems.get(k, "") for t, k in kind.items()}
+    need = {t: None if k < 2 else t + {7: 2, 8: 4, 9: 0}.get(k, -2) for t, k in kind.items()}
+    for t in kind:
+        at, level, seen = t, 0, set()
+        while need.get(at) in kind and at not in seen:
+            seen.add(at)
+            level, at = level + (need[at] >= at), need[at]
+        assert found[9, f"c{t}"]["level"] == (None if at in seen else level)
+    assert {r["level"] for k, r in found.items() if k[0] == 9} > {0, 1, None}
     assert chat.formatted(*chat.turn_calls(turns.where("false")), tools).collect() == []
 
 
@@ -199,7 +223,7 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(queries.ENTRIES) <= set(entry.queries())
 
 

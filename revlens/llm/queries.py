@@ -129,7 +129,7 @@ most AS (SELECT conv_id, sum(back) AS most FROM edges GROUP BY 1),
 ways AS (
   SELECT conv_id, call_id, CAST(0 AS INTEGER) AS level FROM calls
   UNION SELECT e.conv_id, e.call_id, w.level + e.back FROM ways w JOIN edges e ON e.conv_id = w.conv_id AND e.need = w.call_id
-    JOIN most m ON m.conv_id = e.conv_id WHERE w.level <= m.most),
+    JOIN most m ON m.conv_id = e.conv_id WHERE w.level <= m.most + 1),
 levels AS (SELECT w.conv_id, call_id, CASE WHEN max(level) <= coalesce(max(most), 0) THEN max(level) END AS level FROM ways w LEFT JOIN most m ON m.conv_id = w.conv_id GROUP BY 1, 2),
 results AS (
   SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS seq, min(coalesce(text, '')) AS result, count(*) AS n

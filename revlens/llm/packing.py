@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             yield rows.batch({f.name: [r[i] for r in out] for i, f in enumerate(PIECES)}, PIECES)
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids array<int>"
-    made = rows.mapped(rows.id_text(docs), cut, kinds)
+    made = rows.mapped(rows.id_text(docs), cut, kinds, words=True)
     return written(made if with_ids else made.drop("ids"), "pieces")
 
 

@@ -123,7 +123,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "first_id": pa.array([first], pa.int64()), "docs": [docs_n], "ids": [ids_n], "bytes": [at]})
 
     dealt = rows.dealt_by_part(dealt, parts).sortWithinPartitions("doc_id", "text")
-    files = written(rows.mapped(dealt, kept, FILES), "files")
+    files = written(rows.mapped(dealt, kept, FILES, words=True), "files")
     return files.withColumn("folder", F.lit(folder))
 
 

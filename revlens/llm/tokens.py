@@ -168,7 +168,7 @@ def spaced(text: str) -> list[str]:
     return text.replace(" ", MARK + " ").replace("\n", f"{MARK}\n{MARK}").split(MARK)
 
 
-def portions(batch: pa.RecordBatch, column: int, size: int = 1 << 23):
+def portions(batch: pa.RecordBatch, column: int, size: int = 1 << 21):
     """Slices of a batch with some MB of text each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
     part = np.cumsum(sizes, dtype="i8") // size
@@ -181,6 +181,13 @@ def portions(batch: pa.RecordBatch, column: int, size: int = 1 << 23):
 _KEPT: dict[tuple, Words] = {}
 
 
+def forget() -> None:
+    """Give back the memory of the worker's dictionaries, for tasks that need none."""
+    if _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def words(kind: type[Words], vocabulary: Broadcast, code: str) -> Words:
     """The worker's dictionary, kept from task to task."""
     definition = vocabulary.value

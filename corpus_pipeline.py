@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontamination, jaccard, packing, suffixes, toxicity
+from revlens.llm import decontamination, jaccard, packing, simhash, suffixes, toxicity
 from revlens.llm.queries import Entry, table, tokenizer
 from revlens.session import written
 
@@ -19,7 +19,8 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    """SimHash's groups, as op8 finds them, joined by the near pairs that its three bits miss."""
+    return jaccard.one_of_each(docs, radius=simhash.RADIUS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -383,11 +383,24 @@ def links(sets: DataFrame) -> DataFrame:
     return out.unionAll(_between(prefix, out, sets, False))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def by_prints(own: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between sets (prints: key, sig) of texts (own: key, text) whose SimHash fingerprints, op8's, are equal
+    or differ in ``radius`` bits at most."""
+    bits = simhash.fingerprints(own.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "fp")
+    both = written(prints.select("key", "sig").distinct().join(bits.distinct(), "key").select("fp", "sig").distinct(), "both")
+    first = written(both.groupBy("fp").agg(F.min("sig").alias("first")), "first")
+    same = both.join(first, "fp").where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b"))
+    one, two = (first.select(F.col("fp").alias(f"fp_{k}"), F.col("first").alias(k)) for k in "ab")
+    near = simhash.links(first.select("fp"), radius).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return same.unionAll(near.join(one, "fp_a").join(two, "fp_b").select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int | None = None) -> DataFrame:
     """A row for each document: doc_id, fingerprint (hex, of its set), component_id (smallest doc_id that links reach).
 
     A null or empty text has the empty set, which is near to itself only. A null doc_id gets a row and never is a
-    component's id unless all its ids are null.
+    component's id unless all its ids are null. With a ``radius``, documents that SimHash links within as many bits
+    are linked too, so that the groups are SimHash's, joined where its bits miss near sets.
     """
     spark = docs.sparkSession
     own = rows.id_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
@@ -402,7 +415,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     texts = own.join(written(some, "some"), "key").select("sig", "text")
     sets = written(rows.mapped(texts, _sets(words), "sig long, n int, own binary, sketch binary").dropDuplicates(["sig"]), "sets")
 
-    groups = written(simhash.components(links(sets)), "groups")
+    linked = links(sets) if radius is None else by_prints(own, prints, radius).unionAll(links(sets))
+    groups = written(simhash.components(linked), "groups")
     rooted = groups.join(classes, groups.node == classes.sig).select("sig", "root", "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = rooted.join(least, "root").select("sig", "component_id")
@@ -411,6 +425,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return prints.join(ids, "sig").select("doc_id", F.lower(F.lpad(F.hex("sig"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, radius: int | None = None) -> DataFrame:
     """The documents, with all their columns, without near-duplicates; rows are told apart as in simhash.one_of_each."""
-    return simhash.least_of_each(docs, near_duplicates(docs, words), lambda text: signature(shingles(text, words)))
+    return simhash.least_of_each(docs, near_duplicates(docs, words, radius), lambda text: signature(shingles(text, words)))

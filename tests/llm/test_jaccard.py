@@ -84,6 +84,39 @@ def test_pipeline_drops_what_five_words_tell(spark):
     assert [r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, df, "").collect()] == [0]
 
 
+def simhash_pairs(rng):
+    """Texts of one fingerprint, or of two three bits apart at most, whose sets of five words are far from near."""
+    line, tail = "one two three " * 40, [words(rng, 12) for _ in range(3)]
+    texts = [line + x for x in tail] + [words(rng, 80), line + tail[0]]
+    bits = [simhash.fingerprint(x.encode()) for x in texts]
+    linked = [(i, j) for i, j in combinations(range(len(texts)), 2) if (bits[i] ^ bits[j]).bit_count() <= 3]
+    assert any(not near(brute_set(texts[i]), brute_set(texts[j])) for i, j in linked)
+    return texts, linked
+
+
+def test_pipeline_links_what_simhash_links(spark):
+    """SimHash's links hold in the stage, also where five words alone would not tell, and join its groups of near sets."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts, linked = simhash_pairs(rng)
+    base = words(rng, 120)
+    texts += [base, edited(rng, base, 2), edited(rng, base, 2)]
+    root = brute_groups(texts)
+    for i, j in linked:
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    for ids in (range(len(texts)), [7] * len(texts)):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+        found = jaccard.near_duplicates(df, radius=simhash.RADIUS).collect()
+        kept = corpus_pipeline.keep_one_of_each(spark, df, "").collect()
+        if len(set(ids)) > 1:
+            assert [r["component_id"] for r in sorted(found)] == root
+            assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
+        else:
+            assert len(found) == len(texts) and {r["component_id"] for r in found} == {7}
+
+
 def test_odd_rows(odd, empty, spark):
     rows, df = odd
     kept = jaccard.one_of_each(df)

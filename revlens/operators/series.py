@@ -50,7 +50,7 @@ def member_columns(entity: str, value: Column, n: int) -> list[Column]:
 
 
 #: Points of a range of the running totals: a window over one holds about as many, whatever the number of points.
-RANGE = 1 << 22
+RANGE = 1 << 20
 
 
 def ranges_for(spark: SparkSession, points: int) -> int:
@@ -58,18 +58,32 @@ def ranges_for(spark: SparkSession, points: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-points // RANGE))
 
 
-def top_series(points: DataFrame, n: int, entity: str, metric: str, size: int | None = None) -> DataFrame:
+def member_sums(moves: DataFrame, names: DataFrame, entity: str, value: str, n: int, size: int) -> DataFrame:
+    """One row per commit with the columns of ``member_columns``, summed over its rows; a row without an entity keeps its commit.
+
+    The rows are dealt by commit, in parts of RANGE of the ``size`` commits at most, while they are narrow: no task
+    holds the ``n`` sums of more commits, however many rows it has read.
+    """
+    spot = F.coalesce(F.array_position("names", F.col(entity)), F.lit(0)).cast("int")
+    shown = F.col(entity).isNull() | (F.col("__spot") > 0)
+    placed = with_names(moves, names).withColumn("__spot", spot).where(shown).select(*LINE, "date", "seq", "__spot", value)
+    dealt = placed.repartition(ranges_for(moves.sparkSession, size), *LINE, "date", "seq")
+    own = [F.when(F.col("__spot") == i + 1, F.col(value)).otherwise(F.lit(0).cast("long")) for i in range(n)]
+    return dealt.groupBy(*LINE, "date", "seq").agg(*[F.sum(v).alias(f"__v{i}") for i, v in enumerate(own)])
+
+
+def top_series(points: DataFrame, names: DataFrame, n: int, entity: str, metric: str, size: int | None = None) -> DataFrame:
     """Dense series of the top entities: every point of the line gets one row per entity. ``size``: how many points there are, if known.
 
-    ``points`` has one row per commit with ``names`` and the columns of
-    ``member_columns``. The running totals are taken over commit rows; the
-    expansion to one row per entity comes last and shuffles nothing.
+    ``points`` has one row per commit with the columns of ``member_columns``. The
+    running totals are taken over commit rows; ``names`` and the expansion to one row
+    per entity come last and shuffle nothing.
     """
     cells = [f"__v{i}" for i in range(n)]
     ranges = None if size is None else ranges_for(points.sparkSession, size)
     totals = range_scan(points, LINE, ["date", "seq"], {c: ("sum", F.col(c)) for c in cells}, ranges=ranges)
     pairs = F.arrays_zip(F.col("names").alias("name"), F.slice(F.array(*cells), F.lit(1), F.size("names")).alias("value"))
-    rows = totals.select(*LINE, "date", "seq", F.explode(pairs).alias("cell"))
+    rows = with_names(totals, names).select(*LINE, "date", "seq", F.explode(pairs).alias("cell"))
     return rows.select(*LINE, "date", "seq", F.col("cell.name").alias(entity), F.col("cell.value").alias(metric))
 
 

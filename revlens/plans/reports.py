@@ -64,8 +64,8 @@ def authors(
     commits = written(history.select(*LINE, "date", "seq", "author", "lines_added"), "author-commits")
     names = series.top_names(totals.lines_by_author(commits), "author", "loc", n)
     points = series.with_names(commits, names)
-    points = points.select(*LINE, "date", "seq", "names", *series.member_columns("author", F.col("lines_added"), n))
-    return _tagged(log, sel.clip_after(series.top_series(points, n, "author", "loc", commits.count()), params.parse_date(datemin)), tags)
+    points = points.select(*LINE, "date", "seq", *series.member_columns("author", F.col("lines_added"), n))
+    return _tagged(log, sel.clip_after(series.top_series(points, names, n, "author", "loc", commits.count()), params.parse_date(datemin)), tags)
 
 
 def authors_pie(
@@ -245,14 +245,10 @@ def directories(
     moves = written(moves.unionByName(points), "directory-moves")
     sizes = moves.where("directory is not null").groupBy(*LINE, "directory").agg(F.sum("delta").alias("loc"))
     names = series.top_names(sizes, "directory", "loc", n)
-    columns = series.member_columns("directory", F.col("delta"), n)
     # of the others only the points in time are needed, and each commit has a row without a directory for that
-    shown = F.col("directory").isNull() | F.array_contains("names", F.col("directory"))
-    per_commit = series.with_names(moves, names).where(shown).select(*LINE, "date", "seq", "names", *columns)
-    per_commit = per_commit.groupBy(*LINE, "date", "seq", "names").agg(
-        *[F.sum(f"__v{i}").alias(f"__v{i}") for i in range(n)]
-    )
-    grid = series.top_series(per_commit, n, "directory", "loc", moves.where("directory is null").count())
+    commits = moves.where("directory is null").count()
+    per_commit = series.member_sums(moves, names, "directory", "delta", n, commits)
+    grid = series.top_series(per_commit, names, n, "directory", "loc", commits)
     shown = grid.withColumn("directory", paths.display_directory(F.col("directory")))
     return _tagged(log, sel.clip_after(shown, params.parse_date(datemin)), tags)
 

@@ -114,6 +114,17 @@ def test_shortlog(history):
     assert [r.line for r in summary] == ["     3\tbob", "     2\tann", "     1\tcid"]
 
 
+def test_directories_deal_commits_before_their_sums(history, monkeypatch):
+    """The n sums of a commit are formed after its narrow rows were dealt, never by a task for all the rows it reads."""
+    frame = type(history.revisions)
+    dealt, parts = [], frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, *to: dealt.append((df.columns, to)) or parts(df, *to))
+    found = reports.directories(history, n=2)
+    assert [to[1:] for columns, to in dealt if not any(c.startswith("__v") or c == "names" for c in columns)] == [("repo", "branch", "date", "seq")]
+    commits = history.revisions.select("repo", "branch", "date", "seq").distinct().count()
+    assert found.select("repo", "branch", "date", "seq").distinct().count() <= commits
+
+
 def test_diffstat(history):
     rows = reports.diffstat(history, id="r1").orderBy("part", "path").collect()
     assert [r.line for r in rows] == [

@@ -314,6 +314,8 @@ def diffstat(log: ChangeLog, branch: str | None = None, id: str | None = None, n
     else:
         changes = log.need("file_changes") if id is None and branch is None else totals.changes_of(log, revs)
     revs = revs.select(*LINE, *[c for c in REV if c not in LINE], "seq")
+    # both the widths and the lines need the changes, which may be a join of several tables
+    changes = written(changes.select(*REV, "path", "lines_added", "lines_removed"), "changes")
     layout = written(revs.join(totals.layout_stats(changes), REV, "left"), "layout")
     room = F.lit(WIDTH - RESERVED) - F.col("max_len")
     cramped = room < MIN_GRAPH

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from revlens.model import STAT_COLUMNS
@@ -83,3 +84,21 @@ def test_a_hot_diff_runs_in_many_tasks(spark):
 def test_none(spark):
     none = spark.createDataFrame([], "repo string, id string, piece long, diff binary")
     assert pieces.diffstat_from_pieces(none).collect() == []
+
+
+def test_a_single_line_has_the_summary_of_whole_lines():
+    odd = [b"", b"-", b"+", b"@", b"@@", b"@@ -1,2 +3 @@", b"@@ -1 +0,0 @@ x", b"@@ nothing", b"=" * 67, b"=" * 66, b"\xff", b"\xffx", b"--- ", b"+++ ", b"---", b"+++\t", b"--- a/b", b"+++ b/c", b" x", b"\0", b"-\0", b"\r"]
+    odd += [pieces._SEPARATOR, pieces._SEPARATOR + b"=", pieces._SEPARATOR[:-1]]
+    for line in odd:
+        for more in (0, 1, 70):
+            assert pieces._of_line(line, more) == pieces._of_lines(line, more), (line, more)
+
+
+def test_batches_of_summaries_equal_nested_rows():
+    texts = [b"--- a\n+++ b\n@@ -1 +1,2 @@\n-x\n+y\n+z\n--- c\n+++ d", b"", b"+x", b"@@ bad\n x"]
+    columns = [("repo", pa.string()), ("pos", pa.int64())]
+    rows = [{"repo": "r", "pos": k, **pieces.summary(x)} for k, x in enumerate(texts)]
+    rows[2:2] = [{"repo": None, "pos": 9, **dict.fromkeys(name for name, _ in pieces._SUMMARY)}]
+    for own in (rows, rows[2:], rows[2:3], []):
+        made = pieces._with(columns, own)
+        assert made.to_pylist() == own and made.schema == pa.schema([*columns, *pieces._SUMMARY])

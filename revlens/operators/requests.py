@@ -35,7 +35,9 @@ def pieces(start: Column, end: Column, most: int) -> Column:
             )
         )
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), of_size))
+    # a piece is no larger than the range, so only the sizes up to its own are tried
+    own = F.length(F.bin(F.greatest(end - start + 1, F.lit(1).cast("long")))) - 1
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.lit(most), own)), of_size))
 
 
 def points_inside(points: DataFrame, at: str, ranges: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,11 +13,18 @@ from revlens.session import written
 
 
 def map_revisions(revs: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``fn`` to every selected revision, one Arrow batch at a time."""
+    """Apply ``fn`` to every selected revision, one Arrow batch at a time.
+
+    A worker holds one batch's values, however many it reads: Spark keeps the frame it handed out while it reads the
+    next, so that one is emptied, and what ``fn`` leaves in cycles (pandas' ``.str`` ties a column to itself) is freed.
+    """
 
     def run(batches):
         for batch in batches:
-            yield fn(batch)
+            out = fn(batch.copy(deep=False))
+            batch.drop(columns=batch.columns, inplace=True)
+            gc.collect(1)  # what the call left is young
+            yield out
 
     return revs.mapInPandas(run, schema)
 

@@ -1,6 +1,7 @@
 """Running aggregates, intervals, walks and folds against plain Python."""
 
 import random
+import weakref
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,6 +225,49 @@ def test_fold_by_merges_pieces(spark):
     assert got == want
 
 
+@pytest.fixture
+def small_batches(spark):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10")
+    yield
+    spark.conf.set(size, before)
+
+
+def test_map_revisions_frees_earlier_batches(spark, small_batches):
+    seen = []
+
+    def measure(pdf):
+        texts = pdf["message"]
+        earlier = sum(known() is not None for known in seen)
+        seen.append(weakref.ref(texts))
+        return pdf[["id"]].assign(chars=texts.str.len(), batch=len(seen), earlier=earlier)
+
+    rows = [(str(i), "x" * (i % 17) if i % 5 else None) for i in range(95)]
+    df = spark.createDataFrame(rows, "id string, message string").coalesce(1)
+    got = extend.map_revisions(df, measure, "id string, chars bigint, batch int, earlier int").collect()
+    assert {r.id: r.chars for r in got} == {i: None if text is None else len(text) for i, text in rows}
+    assert max(r.batch for r in got) == 10
+    assert {r.earlier for r in got} == {0}
+
+
+def test_map_revisions_may_return_or_keep_its_rows(spark, small_batches):
+    kept = []
+
+    def same(pdf):
+        kept.append(pdf)
+        return pdf
+
+    def count(pdf):
+        kept.append(pdf)
+        return pdf[["id"]].assign(sofar=sum(len(p["message"]) for p in kept))
+
+    rows = [(str(i), f"text {i}") for i in range(25)]
+    df = spark.createDataFrame(rows, "id string, message string").coalesce(1)
+    assert sorted(tuple(r) for r in extend.map_revisions(df, same, "id string, message string").collect()) == sorted(rows)
+    assert {r.sofar for r in extend.map_revisions(df, count, "id string, sofar bigint").collect()} == {10, 20, 25}
+
+
 def test_version_gate(spark):
     rows = [(v, b) for v in range(-1, 8) for b in ("git", "subversion", "mercurial")]
     df = spark.createDataFrame(rows, "version int, backend string")

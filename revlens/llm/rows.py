@@ -26,13 +26,15 @@ def importable(spark: SparkSession) -> None:
 
 
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, words: bool = False) -> DataFrame:
-    """``mapInArrow``. Workers go on to other stages; only tasks that encode ``words`` leave their dictionaries to the next."""
+    """``mapInArrow``. Workers go on to other stages: a task gives back the memory it had, and only tasks that encode
+    ``words`` leave their dictionaries to the next."""
     importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not words:
             tokens.forget()
         yield from fn(batches)
+        tokens.give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -7,6 +7,7 @@ numbers the different ones, so that each is looked up once for a batch, and stri
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from array import array
@@ -63,13 +64,16 @@ class Words(dict):
     def library(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def merged(self, text: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(lettered(text))]).tobytes()
+
     def part(self, text: str) -> bytes:
         """Ids of what the tokenizer's pattern keeps together."""
         found = self.parts.get(text)
         if found is None:
             found = self.old_parts.get(text)
             if found is None:
-                found = array(self.code, [t.id for t in self.model.tokenize(lettered(text))]).tobytes()
+                found = self.merged(text)
             if len(self.parts) >= KEPT:
                 self.old_parts, self.parts = self.parts, {}
             self.parts[text] = found
@@ -126,11 +130,15 @@ class LowerWords(Words):
 
     def made(self, word: str) -> bytes:
         bare = word.rstrip(ENDS)
-        if bare.isascii() and bare.isalpha():
-            return self.part(bare.lower()) + self.part(word[len(bare) :]) if len(bare) < len(word) else self.part(bare.lower())
-        if plain := PLAIN.fullmatch(word):
-            return self.part(plain[2].lower()) + (self.part(plain[3]) if plain[3] else b"")
-        return self.library(word)
+        ends = word[len(bare) :]
+        if not (bare.isascii() and bare.isalpha()):
+            plain = PLAIN.fullmatch(word)
+            if not plain:
+                return self.library(word)
+            bare = plain[2]
+        low = bare.lower()
+        own = self.merged(low) if low == word else self[low]  # a word of its own, so that it is kept once
+        return own + self.part(ends) if ends else own
 
     def text_ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
@@ -169,15 +177,25 @@ def spaced(text: str) -> list[str]:
 
 
 def portions(batch: pa.RecordBatch, column: int, size: int = 1 << 21):
-    """Slices of a batch with some MB of text each."""
+    """Slices of a batch with some MB of text each; what one has taken goes back before the next."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
     part = np.cumsum(sizes, dtype="i8") // size
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in pairwise(cuts):
         if b > a:
             yield batch.slice(a, b - a)
+            give_back()
+
+
+def give_back() -> None:
+    """Return to the machine what Arrow and the C library keep of memory that is free; a worker's size is what it holds."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
+#: glibc's; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _KEPT: dict[tuple, Words] = {}
 
 
@@ -185,7 +203,7 @@ def forget() -> None:
     """Give back the memory of the worker's dictionaries, for tasks that need none."""
     if _KEPT:
         _KEPT.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def words(kind: type[Words], vocabulary: Broadcast, code: str) -> Words:

@@ -2,10 +2,12 @@
 
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -31,6 +33,34 @@ def test_words_give_the_ids_of_the_library(kind, path):
     assert [np.frombuffer(found.text_ids(x), "<u4").tolist() for x in texts] == library(path, texts)
 
 
+def test_plain_words_are_kept_once():
+    with open(WORD, encoding="utf-8") as file:
+        found = tokens.LowerWords(file.read(), "I")
+    texts = ["the The THE, the.", "Élan élan élan! it's"]
+    got = found.ids(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == library(WORD, texts)
+    assert {"the", "élan"} <= set(found)
+    assert set(found.parts) <= {",", ".", "!"}
+
+
+def anonymous():
+    with open("/proc/self/smaps_rollup") as file:
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", file.read())[1]) / 1024
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory cannot be read here")
+def test_a_portion_gives_back_what_the_one_before_took():
+    portions = tokens.portions(pa.record_batch({"text": ["x" * 20, "y" * 20]}), 0, 16)
+    next(portions)
+    taken = [np.ones(12_500) for _ in range(1000)]  # 100 KB each: the C library keeps them when they are freed
+    last = np.ones(12_500)  # and cannot cut them off, as this one lies behind them
+    del taken
+    before = anonymous()
+    next(portions)
+    assert anonymous() < before - 50
+    assert len(last) == 12_500
+
+
 def test_merging_counts_as_the_library():
     rng = random.Random(2)
     texts = HARD + ["".join(rng.choices("abt eTh.\n é'", k=rng.randint(1, 60))) for _ in range(400)]

@@ -2,7 +2,8 @@
 
 White space never joins a token with what lies before it, so a text falls into words that are encoded
 alone; a word that was seen before is a dictionary look-up. Arrow parts the texts of a batch into words and
-numbers the different ones, so that each is looked up once for a batch, and strings their ids together.
+numbers the different ones, so that each is looked up once for a batch, and strings their ids together. Words
+that are new are encoded by the library many at a time: its model gets them as one text.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import ctypes
 import os
 import re
 from array import array
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,18 @@ KEPT = 300_000
 ENDS = ".,;:!?"
 MARK = "\x1f"
 SPACES = re.compile(r"\s\s|\x1f")
+#: The same for Arrow, whose white space is ASCII's alone.
+_SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ARROW_SPACES = rf"{_SPACE}{_SPACE}|\x{{1f}}"
 #: Letters whose lower case and composed form are themselves, with what may follow a word.
 PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Letters, then ASCII marks but the apostrophe: byte-level tokenizers part such a word there and nowhere else.
+MARKED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: What can lie inside of such a word.
+INSIDE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]*[!-&(-/:-@\[-`{-~]*")
+NEVER = re.compile("(?!)")
+#: Words looked up at a time, and encoded as one text.
+BLOCK, TOGETHER = 1 << 16, 64
 
 
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:
@@ -89,14 +100,18 @@ class Words(dict):
         """Texts as lists of words."""
         raise NotImplementedError
 
-    def alone(self, texts: list[str]) -> list[int]:
+    def alone(self, texts: pa.Array) -> list[int]:
         """Places of the texts that are not parted into words."""
         return []
 
+    def looked(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words."""
+        return [self[w] for w in words]
+
     def ids(self, texts: pa.Array) -> list[bytes]:
         """``text_ids`` of each text, empty for a null."""
         whole = pc.fill_null(texts, "")
-        alone = self.alone(whole.to_pylist())
+        alone = self.alone(whole)
         if alone:
             mask = np.ones(len(whole), bool)
             mask[alone] = False
@@ -108,7 +123,8 @@ class Words(dict):
     def _strung(self, texts: pa.Array) -> list[bytes]:
         parts = self.parted(texts)
         words = parts.flatten().dictionary_encode()
-        ids = pa.array([self[w] for w in words.dictionary.to_pylist()], pa.large_binary()).take(words.indices)
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each
+        ids = pa.array(self.looked(different), pa.large_binary()).take(words.indices)
         _, offsets, data = ids.buffers()
         places = np.frombuffer(offsets, "<i8")[parts.offsets.to_numpy() - parts.offsets[0].as_py()] if len(ids) else np.zeros(len(texts) + 1, int)
         data = data.to_pybytes() if data is not None else b""
@@ -150,21 +166,83 @@ class LowerWords(Words):
 class SpacedWords(Words):
     """Byte-level tokenizers that keep a space with the word after it (byte_bpe)."""
 
-    def made(self, word: str) -> bytes:
-        bare = word.rstrip(ENDS)
-        if bare.isascii() and (bare[1:] if bare[:1] == " " else bare).isalpha():
-            return self.part(bare) + self.part(word[len(bare) :]) if len(bare) < len(word) else self.part(bare)
-        if plain := PLAIN.fullmatch(word):
-            return self.part(plain[1] + plain[2]) + (self.part(plain[3]) if plain[3] else b"")
-        return self.library(word)
+    def __init__(self, definition: str, code: str):
+        super().__init__(definition, code)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.bare = Tokenizer(self.model)
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(LETTERS[10])
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, "i4")
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = NEVER if any(map(INSIDE.fullmatch, special)) else MARKED
+
+    def __missing__(self, word: str) -> bytes:
+        return self.looked([word])[0]
+
+    def looked(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), BLOCK):
+            some = words[at : at + BLOCK]
+            found = list(map(self.get, some))
+            if new := [w for w, ids in zip(some, found, strict=True) if ids is None]:
+                made = self.learned(new)
+                found = [made[w] if ids is None else ids for w, ids in zip(some, found, strict=True)]
+            out += found
+        return out
+
+    def learned(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of new words, and of those among them without the marks behind them; all are kept."""
+        made, new, marked = {}, {}, []
+        for word in words:
+            ids = self.old.get(word)
+            if ids is not None:
+                made[word] = ids
+            elif not (plain := self.plain.fullmatch(word)):
+                made[word] = self.library(word)
+            elif plain[2]:
+                marked.append((word, *plain.groups()))
+            else:
+                new[word] = None
+        for _, bare, _ in marked:
+            if bare not in made and bare not in self:
+                if bare in self.old:
+                    made[bare] = self.old[bare]
+                else:
+                    new[bare] = None
+        made.update(zip(new, self.together(list(new)), strict=True))
+        for word, bare, marks in marked:
+            made[word] = (made[bare] if bare in made else self[bare]) + self.part(marks)
+        if len(self) + len(made) > KEPT:
+            self.old = dict(self)
+            self.clear()
+        self.update(made)
+        return made
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of words the pattern keeps whole. The model gets many as one text; as a token is as long as its letters,
+        their sizes tell where the next word's begin."""
+        if not words:
+            return []
+        letters = lettered("\n".join(words)).split(LETTERS[10])
+        texts = [LETTERS[10].join(letters[a : a + TOGETHER]) for a in range(0, len(letters), TOGETHER)]
+        encoded = self.bare.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in encoded), self.code)
+        ends = np.cumsum(list(map(len, letters)))
+        reached = np.cumsum(self.sizes[ids])
+        if not np.isin(ends, reached).all():  # a vocabulary that lacks letters leaves these out
+            return list(map(self.merged, words))
+        cuts, data = np.searchsorted(reached, ends, side="right"), ids.tobytes()
+        return [data[a:b] for a, b in pairwise([0, *(cuts * ids.itemsize).tolist()])]
 
     def text_ids(self, text: str) -> bytes:
         if SPACES.search(text):  # runs of white space are split by rules of their own
             return self.library(text)
-        return b"".join(map(self.__getitem__, spaced(text)))
+        return b"".join(self.looked(spaced(text)))
 
-    def alone(self, texts: list[str]) -> list[int]:
-        return [i for i, text in enumerate(texts) if SPACES.search(text)]
+    def alone(self, texts: pa.Array) -> list[int]:
+        return pc.indices_nonzero(pc.match_substring_regex(texts, ARROW_SPACES)).to_pylist()
 
     def parted(self, texts: pa.Array) -> pa.ListArray:
         marked = pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", f"{MARK}\n{MARK}")

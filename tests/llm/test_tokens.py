@@ -43,6 +43,61 @@ def test_plain_words_are_kept_once():
     assert set(found.parts) <= {",", ".", "!"}
 
 
+def spaced_words(path=BYTE, definition=None):
+    if definition is None:
+        with open(path, encoding="utf-8") as file:
+            definition = file.read()
+    return tokens.SpacedWords(definition, "H")
+
+
+def found_ids(found, texts):
+    return [np.frombuffer(x, "<u2").tolist() for x in found.ids(pa.array(texts))]
+
+
+def test_new_spaced_words_go_to_the_model_together():
+    found, alone = spaced_words(), []
+    found.merged = lambda text, own=found.merged: alone.append(text) or own(text)
+    found.library = lambda text, own=found.library: alone.append(text) or own(text)
+    texts = ["the The, the.", "Élan élan! naïve### the$_", "", "it's <|endoftext|> 12"]
+    assert found_ids(found, texts) == library(BYTE, texts)
+    assert set(alone) == {"", "!", "###", "$_", " 12", " <|endoftext|>", ",", ".", "it's"}
+    assert set(found.parts) == {"!", "###", "$_", ",", "."}
+    assert {" The", "Élan", " naïve", " naïve###"} <= set(found)
+
+
+def test_spaced_words_that_are_forgotten_come_back(monkeypatch):
+    for name, value in (("KEPT", 60), ("BLOCK", 16), ("TOGETHER", 3)):
+        monkeypatch.setattr(tokens, name, value)
+    rng = random.Random(5)
+    some = ["".join(rng.choices("abtheßé", k=rng.randint(1, 6))) + rng.choice(["", "", ".", "?!", "--", "'s", "7"]) for _ in range(150)]
+    texts = [" ".join(rng.choices(some, k=rng.randint(0, 40))) for _ in range(60)]
+    found = spaced_words()
+    for a in range(0, len(texts), 7):
+        assert found_ids(found, texts[a : a + 7]) == library(BYTE, texts[a : a + 7])
+        assert max(len(found), len(found.old)) <= 60
+    assert found.old
+
+
+def test_arrow_finds_the_white_space_that_python_finds():
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    texts = [f"a{x}{y}b" for x in spaces for y in spaces] + [f"a{x}b" for x in [*spaces, "\u200b", "\ufeff"]]
+    assert spaced_words().alone(pa.array(texts)) == [i for i, x in enumerate(texts) if tokens.SPACES.search(x)]
+
+
+@pytest.mark.parametrize("vocabulary, special", [("ab", None), ("ab", "##"), ("ab", "ab#"), ("", None)])
+def test_tokenizers_that_lack_letters_or_take_marks_as_special(vocabulary, special):
+    from tokenizers import AddedToken, models, pre_tokenizers
+
+    known = [*vocabulary, *(["ab", tokens.LETTERS[32], "#"] if vocabulary else [])]
+    made = Tokenizer(models.BPE({x: i for i, x in enumerate(known)}, [("a", "b")] if vocabulary else []))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    if special:
+        made.add_special_tokens([AddedToken(special, normalized=False)])
+    texts = ["ab cab abc", "ab## a#, é", " b xx# ab###", "ab", "xyz"]
+    wanted = [made.encode(x, add_special_tokens=False).ids for x in texts]
+    assert found_ids(spaced_words(definition=made.to_str()), texts) == wanted
+
+
 def anonymous():
     with open("/proc/self/smaps_rollup") as file:
         return int(re.search(r"\nPss_Anon:\s+(\d+)", file.read())[1]) / 1024
